@@ -1,0 +1,40 @@
+"""Queries of the training-data operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gristmill.llm import inputs, repeated_lines
+from gristmill.session import cut_lineage, small_side, table
+
+
+def _lines_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = inputs.doc_facts(spark, sf_dir).select("doc_id", F.col("doc_type").alias("source"))
+    return repeated_lines.identified_lines(table(spark, sf_dir, "pages"), small_side(sources))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines_by_type(spark, sf_dir)
+    return repeated_lines.repeated_lines(lines, cut_lineage(repeated_lines.repeated_blocks(lines)))
+
+
+def p5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = inputs.doc_facts(spark, sf_dir).select("doc_id", F.col("doc_type").alias("source"))
+    return repeated_lines.without_repeated_lines(table(spark, sf_dir, "pages"), small_side(sources))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_pages)}
+ORACLE_SQL: dict[str, str] = {
+    "p5_found": r"""
+        WITH t AS (SELECT doc_id, coalesce(max(doc_type), '') AS doc_type FROM docs GROUP BY doc_id),
+        p AS (SELECT DISTINCT doc_id, page, string_split(text, chr(10)) AS ls FROM pages),
+        l AS (SELECT doc_id, page, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM p),
+        k AS (SELECT l.doc_id, page, line_no, coalesce(doc_type, '') AS doc_type,
+                     regexp_replace(lower(line), '[^\p{L}\p{N}]+', '', 'g') AS k
+              FROM l LEFT JOIN t ON l.doc_id = t.doc_id),
+        n AS (SELECT doc_type, count(DISTINCT doc_id) AS n FROM k GROUP BY doc_type),
+        r AS (SELECT k.doc_type, k FROM k JOIN n ON k.doc_type = n.doc_type WHERE k <> ''
+              GROUP BY k.doc_type, k, n.n HAVING count(DISTINCT doc_id) >= greatest(5, 0.2 * n.n))
+        SELECT doc_id, page, CAST(line_no AS INT) AS line_no FROM k SEMI JOIN r ON k.doc_type = r.doc_type AND k.k = r.k""",
+}
