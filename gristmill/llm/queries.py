@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import inputs, repeated_lines
+from gristmill.llm import inputs, leakage, repeated_lines, sentences
 from gristmill.session import cut_lineage, small_side, table
 
 
@@ -24,7 +24,22 @@ def p5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(table(spark, sf_dir, "pages"), small_side(sources))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_pages)}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.where("exact").select("doc_id", "item_id").distinct()
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leaked item with the documents that hold it, near copies (edits above 0) included."""
+    leaks = leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.groupBy("item_id", "field").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("edits").alias("fewest_edits"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_pages, p6_found, p6_items, p8_found)}
 ORACLE_SQL: dict[str, str] = {
     "p5_found": r"""
         WITH t AS (SELECT doc_id, coalesce(max(doc_type), '') AS doc_type FROM docs GROUP BY doc_id),

@@ -94,9 +94,9 @@ def _thai_ends(text: str) -> list[int]:
 def _node_cost(text: str, m: re.Match, end: int) -> float | None:
     """Cost of ending a sentence at the terminator m; None where no sentence can end."""
     rest = text[end:]
-    mark = m.group()
+    mark = m.group()[: end - m.start()]
     closers = mark.lstrip(".!?…।॥。！？").strip()
-    cjk = mark[0] in "。！？…" and bool(CJK.search(text[max(0, m.start() - 3) : m.start()]))
+    cjk = mark[0] in "。！？" or mark[0] == "…" and bool(CJK.search(text[max(0, m.start() - 3) : end + 3]))
     if not rest.strip():
         return 0.0
     spaced = rest[0].isspace()
@@ -104,7 +104,8 @@ def _node_cost(text: str, m: re.Match, end: int) -> float | None:
     first = opening.group(1) if opening else " "
     if cjk:
         if closers and closers[-1] in "）)":
-            return 0.0 if text[: m.start()].rfind("（") in (-1, 0) else 6.0
+            opened = text[: m.start()].rfind("（")
+            return 0.0 if opened <= 0 or text[:opened].rstrip()[-1:] in "。！？…”」』" else 12.0
         if closers and not spaced and rest.startswith(CJK_CONTINUES):
             return 12.0
         return 0.0 if not rest.lstrip().startswith(("，", "、", "；")) else 12.0
@@ -122,7 +123,7 @@ def _node_cost(text: str, m: re.Match, end: int) -> float | None:
     if closers or mark[0] in "!?" or len(mark) > 1:
         return 0.0
     before = LAST_WORD.search(text[: m.start()])
-    word = before.group() if before else ""
+    word = re.split(r"(?<=[\w%]{2})[.!?…](?=[^\W\d_])", before.group())[-1] if before else ""  # after a missing space
     low = word.lower().strip("-–")
     low = low.rsplit("'", 1)[-1]
     follower = FIRST_WORD.match(rest.lstrip())
@@ -159,7 +160,9 @@ def _paragraph_ends(text: str) -> list[int]:
     nodes, costs = [0], [0.0]
     for m in TERMINATOR.finditer(text):
         end = m.end()
-        if re.search(r"\s»$", m.group()) is None and m.group()[-1] in "\"'" and text[end : end + 1].isalnum():
+        if "“" in m.group() and "„" not in text:  # it opens the next sentence
+            end = m.start() + m.group().index("“")
+        elif re.search(r"\s»$", m.group()) is None and m.group()[-1] in "\"'" and text[end : end + 1].isalnum():
             end = m.start() + len(m.group().rstrip("\"'"))
         cost = _node_cost(text, m, end)
         if cost is not None:
