@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import inputs, leakage, repeated_lines, sentences
+from gristmill.llm import inputs, leakage, repeated_lines, sentences, speaker_turns
 from gristmill.session import cut_lineage, small_side, table
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = inputs.pages_of(spark, sf_dir, F.col("doc_type") == "press_conference", "text")
+    return speaker_turns.speaker_turns(pages, table(spark, sf_dir, "docs").where("doc_type = 'press_conference'").select("doc_id", "speaker"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir).select("doc_id", "turn_no", "speaker", "first_word", "last_word")
+
+
+def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean text of every turn."""
+    return _turns(spark, sf_dir).select("doc_id", "turn_no", "speaker", F.array_join("words", " ").alias("text"), F.size("words").alias("n_words"))
+
+
 def _lines_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = inputs.doc_facts(spark, sf_dir).select("doc_id", F.col("doc_type").alias("source"))
     return repeated_lines.identified_lines(table(spark, sf_dir, "pages"), small_side(sources))
@@ -39,7 +53,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_pages, p6_found, p6_items, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_turns, p5_found, p5_pages, p6_found, p6_items, p8_found)}
 ORACLE_SQL: dict[str, str] = {
     "p5_found": r"""
         WITH t AS (SELECT doc_id, coalesce(max(doc_type), '') AS doc_type FROM docs GROUP BY doc_id),
