@@ -1,4 +1,7 @@
 """All queries of the core and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from gristmill.plans import drift
+
+MODULES = (drift,)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
