@@ -5,10 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import inputs, leakage, repeated_lines, sentences, speaker_turns
+from gristmill.llm import inputs, leakage, mixing, near_duplicates, repeated_lines, sentences, speaker_turns
 from gristmill.session import cut_lineage, small_side, table
 
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kind, key, text of the passages and pages that may hold the same text; press conferences are left out."""
+    chunks = table(spark, sf_dir, "chunks").where((F.coalesce("kind", F.lit("text")) != "table") & (F.coalesce("doc_type", F.lit("")) != "press_conference"))
+    prose = F.col("format").isin("html", "pdf", "docx") & (F.coalesce("doc_type", F.lit("")) != "press_conference")
+    pages = inputs.pages_of(spark, sf_dir, prose, "text")
+    page_key = F.concat("doc_id", F.lit("#p"), F.col("page").cast("string"))
+    return chunks.select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("key"), "text").unionByName(pages.select(F.lit("page").alias("kind"), page_key.alias("key"), "text"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = near_duplicates.near_duplicate_pairs(_records(spark, sf_dir))
+    return pairs.select(F.col("kind").alias("record_kind"), "key_a", "key_b")
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(_records(spark, sf_dir))
+
+
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = inputs.pages_of(spark, sf_dir, F.col("doc_type") == "press_conference", "text")
     return speaker_turns.speaker_turns(pages, table(spark, sf_dir, "docs").where("doc_type = 'press_conference'").select("doc_id", "speaker"))
@@ -49,11 +70,19 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.groupBy("item_id", "field").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("edits").alias("fewest_edits"))
 
 
+def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), TOKENIZER)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), TOKENIZER)[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_turns, p5_found, p5_pages, p6_found, p6_items, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p5_found, p5_pages, p6_found, p6_items, p7_selection, p7_shares, p8_found)}
 ORACLE_SQL: dict[str, str] = {
     "p5_found": r"""
         WITH t AS (SELECT doc_id, coalesce(max(doc_type), '') AS doc_type FROM docs GROUP BY doc_id),
