@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import inputs, leakage, mixing, near_duplicates, repeated_lines, sentences, speaker_turns
+from gristmill.llm import inputs, leakage, main_content, mixing, near_duplicates, repeated_lines, sentences, speaker_turns
 from gristmill.session import cut_lineage, small_side, table
 
 
@@ -44,6 +44,18 @@ def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).select("doc_id", "turn_no", "speaker", F.array_join("words", " ").alias("text"), F.size("words").alias("n_words"))
 
 
+def _web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.pages_of(spark, sf_dir, F.col("format") == "html", "text")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_content.boilerplate_lines(_web_pages(spark, sf_dir))
+
+
+def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_content.main_content(_web_pages(spark, sf_dir))
+
+
 def _lines_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = inputs.doc_facts(spark, sf_dir).select("doc_id", F.col("doc_type").alias("source"))
     return repeated_lines.identified_lines(table(spark, sf_dir, "pages"), small_side(sources))
@@ -82,7 +94,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p5_found, p5_pages, p6_found, p6_items, p7_selection, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p4_found, p4_text, p5_found, p5_pages, p6_found, p6_items, p7_selection, p7_shares, p8_found)}
 ORACLE_SQL: dict[str, str] = {
     "p5_found": r"""
         WITH t AS (SELECT doc_id, coalesce(max(doc_type), '') AS doc_type FROM docs GROUP BY doc_id),
