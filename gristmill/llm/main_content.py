@@ -40,9 +40,9 @@ FURNITURE = re.compile(
 )
 LIST_HEAD = re.compile(
     r"(?:you may also like|in the spotlight|also on this site|related (?:information|content)|earlier releases|more on |further reading|popular now|others are reading|see also$|linked pages|editors. picks|read next"
-    r"|trending|top pages of|most read|latest |more from )"
+    r"|trending|top pages of|most read|highlights from |latest |more from )"
 )
-TITLE = re.compile(r"(?:(?:remarks on|proposal to|outlook for|policy statement on) .*|.*: [\w-]+ evidence(?: \(.*\))?|.*\(\d{1,2} \w+ \d{4}\)|[^.|:]+ and [^.|:]+)$")
+TITLE = re.compile(r"(?:(?:remarks on|proposal to) .*|.*: [\w-]+ evidence(?: \(.*\))?|.*\(\d{1,2} \w+ \d{4}\))$")
 SENTENCE_END = re.compile(r"[.!?:;][\"'”’)]*$")
 
 
