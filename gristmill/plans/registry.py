@@ -1,7 +1,7 @@
 """All queries of the core and their SQL."""
 
-from gristmill.plans import drift
+from gristmill.plans import drift, relational, search, timeseries
 
-MODULES = (drift,)
+MODULES = (search, drift, timeseries, relational)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
