@@ -5,7 +5,7 @@ compared. A class's min-hashes over pairs of neighbouring words are banded:
 classes that agree on a whole band are candidates. Signature batches of the
 candidates are then compared one after the other, and a candidate is dropped as
 soon as the posterior probability of a word-pair similarity of SURVIVING or more
-is below MISS. What survives is verified on the words themselves.
+is below MISS. What survives is verified on all words.
 
 Records at the asked similarity of words that share hardly a pair of neighbouring
 words (texts shuffled word by word) are no candidates; moved sentences are.
@@ -27,7 +27,7 @@ from gristmill.session import cut_lineage
 WORD = re.compile(r"[^\W_]+")
 WORD_SQL = r"[\p{L}\p{N}]+"
 LEAST = 0.8  # twice the common words by the sum of both numbers of words
-ROWS, BANDS = 6, 64
+ROWS, BANDS = 5, 40
 BATCHES = (32, 96)  # one-byte min-hashes compared in the first and in the second step
 SURVIVING, MISS = 0.4, 1e-3
 _SEED = np.random.default_rng(20)
@@ -63,8 +63,8 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     before = np.concatenate(([np.uint64(7)], hashes[:-1]))
     pairs = _mixed(np.unique(before * _P + hashes))
     low = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(pairs), 4096):
-        low = np.minimum(low, (pairs[i : i + 4096, None] * _A + _B).min(axis=0))
+    for i in range(0, len(pairs), 256):  # a block stays in the processor's cache
+        low = np.minimum(low, (pairs[i : i + 256, None] * _A + _B).min(axis=0))
     return _mixed(low)
 
 
@@ -72,7 +72,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known: dict[str, int] = {}
     for batch in batches:
         bands, first, second = [], [], []
-        for words in batch["words"]:
+        for words in batch["text"].str.split(" "):
             if len(known) > CACHE_WORDS:
                 known.clear()
             fresh = [w for w in dict.fromkeys(words) if w not in known]
@@ -107,23 +107,21 @@ def _step(n_before: int, n: int):
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         similarity = []
-        for x, y in zip(batch["words_a"], batch["words_b"]):
+        for x, y in zip(batch["text_a"].str.split(" "), batch["text_b"].str.split(" ")):
             similarity.append(2 * (Counter(x) & Counter(y)).total() / (len(x) + len(y)))
         yield batch[["a", "b"]].assign(similarity=np.array(similarity, float))
 
 
 def classes_of(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members (kind, key, class_id) and classes (class_id, words) of records (kind, key, text).
+    """members (kind, key, class_id) and classes (class_id, text: its words with single spaces) of records (kind, key, text).
 
     Texts without words are in no class. A key with several texts is a member with
     each; texts are grouped by all their words, the hash only names the class.
     """
     words = records.where(F.col("key").isNotNull()).select("kind", "key", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     bag = F.md5(F.concat_ws(" ", F.col("kind"), F.array_join(F.array_sort("words"), " ")))
-    named = words.withColumn("class_id", F.xxhash64(bag, F.lit(1)))
-    text = named.select("class_id", F.array_join("words", " ").alias("text"))
-    classes = text.groupBy("class_id").agg(F.min("text").alias("text")).select("class_id", F.split("text", " ").alias("words"))
-    return named.select("kind", "key", "class_id").distinct(), classes
+    named = cut_lineage(words.select("kind", "key", F.xxhash64(bag, F.lit(1)).alias("class_id"), F.array_join("words", " ").alias("text")))
+    return named.select("kind", "key", "class_id").distinct(), named.groupBy("class_id").agg(F.min("text").alias("text"))
 
 
 def class_links(classes: DataFrame, least: float = LEAST) -> DataFrame:
@@ -139,7 +137,7 @@ def class_links(classes: DataFrame, least: float = LEAST) -> DataFrame:
         pairs = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_step(done, n), "a long, b long, matches int")
         done += n
     pairs = cut_lineage(pairs.select("a", "b"))
-    side = lambda k: classes.select(F.col("class_id").alias(k), F.col("words").alias(f"words_{k}"))
+    side = lambda k: classes.select(F.col("class_id").alias(k), F.col("text").alias(f"text_{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.mapInPandas(_verify, "a long, b long, similarity double").where(F.col("similarity") >= least)
 
