@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.session import cut_lineage
+from gristmill.session import cut_lineage, small_side
 
 WORD = re.compile(r"[^\W_]+")
 WORD_SQL = r"[\p{L}\p{N}]+"
@@ -71,20 +71,21 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known: dict[str, int] = {}
     for batch in batches:
-        bands, first, second = [], [], []
-        for words in batch["text"].str.split(" "):
+        bands, first, second, n_words = [], [], [], []
+        for kind, words in zip(batch["kind_id"], batch["text"].str.split(" ")):
             if len(known) > CACHE_WORDS:
                 known.clear()
             fresh = [w for w in dict.fromkeys(words) if w not in known]
             if fresh:
                 known.update(zip(fresh, pd.util.hash_array(np.array(fresh, object), categorize=False).tolist()))
             sig = signature(np.fromiter((known[w] for w in words), np.uint64, len(words)))
-            mixed = _mixed((sig.reshape(BANDS, ROWS) * _MIX).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * _P)
+            mixed = _mixed((sig.reshape(BANDS, ROWS) * _MIX).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * _P + np.uint64(kind & 0xFFFFFFFF))
             bands.append(mixed.view(np.int64))
             octets = (sig[:: ROWS * BANDS // sum(BATCHES)][: sum(BATCHES)] & np.uint64(255)).astype(np.uint8)
+            n_words.append(len(words))
             first.append(octets[: BATCHES[0]].tobytes())
             second.append(octets[BATCHES[0] :].tobytes())
-        yield pd.DataFrame({"class_id": batch["class_id"], "bands": bands, "first": first, "second": second})
+        yield pd.DataFrame({"class_id": batch["class_id"], "n": n_words, "bands": bands, "first": first, "second": second})
 
 
 def _agreeing(a: pd.Series, b: pd.Series, n: int) -> np.ndarray:
@@ -112,32 +113,44 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["a", "b"]].assign(similarity=np.array(similarity, float))
 
 
-def classes_of(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members (kind, key, class_id) and classes (class_id, text: its words with single spaces) of records (kind, key, text).
+def words_by_class(records: DataFrame) -> DataFrame:
+    """kind, key, class_id, text (its words with single spaces) of records (kind, key, text), written once.
 
     Texts without words are in no class. A key with several texts is a member with
-    each; texts are grouped by all their words, the hash only names the class.
+    each. The class is named by the hash of all its words in order of the alphabet.
     """
     words = records.where(F.col("key").isNotNull()).select("kind", "key", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     bag = F.md5(F.concat_ws(" ", F.col("kind"), F.array_join(F.array_sort("words"), " ")))
-    named = cut_lineage(words.select("kind", "key", F.xxhash64(bag, F.lit(1)).alias("class_id"), F.array_join("words", " ").alias("text")))
-    return named.select("kind", "key", "class_id").distinct(), named.groupBy("class_id").agg(F.min("text").alias("text"))
+    return cut_lineage(words.select("kind", "key", F.xxhash64(bag, F.lit(1)).alias("class_id"), F.array_join("words", " ").alias("text")))
 
 
-def class_links(classes: DataFrame, least: float = LEAST) -> DataFrame:
-    """a, b, similarity: classes of different words at `least` or more, a < b."""
-    classes = cut_lineage(classes)
-    sketches = cut_lineage(classes.mapInPandas(_sketch, "class_id long, bands array<long>, first binary, second binary"))
-    bands = sketches.select(F.col("class_id"), F.explode("bands").alias("band"))
-    a, b = bands.withColumnRenamed("class_id", "a"), bands.withColumnRenamed("class_id", "b")
-    pairs = a.join(b, "band").where("a < b").select("a", "b").distinct().withColumn("matches", F.lit(0))
+def members_of(texts: DataFrame) -> DataFrame:
+    return cut_lineage(texts.select("kind", "key", "class_id").distinct())
+
+
+def class_links(texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """a, b, similarity: classes of different words and one kind at `least` or more, a < b.
+
+    The numbers of words alone bound the similarity, so bands carry them. Texts move
+    to the verification only where a pair needs them.
+    """
+    classes = texts.groupBy("class_id", F.hash("kind").alias("kind_id")).agg(F.min("text").alias("text"))
+    sketches = cut_lineage(classes.mapInPandas(_sketch, "class_id long, n int, bands array<long>, first binary, second binary"))
+    bands = sketches.select("class_id", "n", F.explode("bands").alias("band"))
+    a = bands.select("band", F.col("class_id").alias("a"), F.col("n").alias("n_a"))
+    b = bands.select("band", F.col("class_id").alias("b"), F.col("n").alias("n_b"))
+    may_reach = 2 * F.least("n_a", "n_b") >= least * (F.col("n_a") + F.col("n_b")) - 1e-9
+    # Partitioned by one side only: the next join needs no further exchange.
+    pairs = a.join(b, "band").where((F.col("a") < F.col("b")) & may_reach).select("a", "b").repartition("a").dropDuplicates(["a", "b"]).withColumn("matches", F.lit(0))
     done = 0
     for part, n in zip(("first", "second"), BATCHES):
         side = lambda k, part=part: sketches.select(F.col("class_id").alias(k), F.col(part).alias(f"sig_{k}"))
         pairs = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_step(done, n), "a long, b long, matches int")
         done += n
     pairs = cut_lineage(pairs.select("a", "b"))
-    side = lambda k: classes.select(F.col("class_id").alias(k), F.col("text").alias(f"text_{k}"))
+    needed = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).distinct()
+    verified = texts.select("class_id", "text").join(small_side(needed), "class_id", "left_semi").groupBy("class_id").agg(F.min("text").alias("text"))
+    side = lambda k: verified.select(F.col("class_id").alias(k), F.col("text").alias(f"text_{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.mapInPandas(_verify, "a long, b long, similarity double").where(F.col("similarity") >= least)
 
@@ -148,9 +161,9 @@ def near_duplicate_pairs(records: DataFrame, least: float = LEAST) -> DataFrame:
     records(kind, key, text). Null keys, null texts and texts without words match
     nothing; repeated rows count once.
     """
-    members, classes = classes_of(records)
-    members = cut_lineage(members)
-    links = cut_lineage(class_links(classes, least).select("a", "b"))
+    texts = words_by_class(records)
+    members = members_of(texts)
+    links = cut_lineage(class_links(texts, least).select("a", "b"))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     same = members.select(F.col("class_id").alias("a"), F.col("class_id").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     left = members.select("kind", F.col("key").alias("key_a"), F.col("class_id").alias("a"))
@@ -165,9 +178,9 @@ def near_duplicate_groups(records: DataFrame, least: float = LEAST) -> DataFrame
     Labels shrink to the smallest neighbouring label, and to that label's own
     label, until none changes; every round is a join and an aggregation over links.
     """
-    members, classes = classes_of(records)
-    members = cut_lineage(members)
-    links = cut_lineage(class_links(classes, least).select("a", "b"))
+    texts = words_by_class(records)
+    members = members_of(texts)
+    links = cut_lineage(class_links(texts, least).select("a", "b"))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
