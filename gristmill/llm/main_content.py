@@ -221,7 +221,10 @@ def _lines(text: str | None) -> tuple[list[int], list[str]]:
 
 def train(pages: DataFrame, most: int = TRAIN_PAGES, seed: int = 3) -> BiLSTM | None:
     """Fit the labeller on at most `most` pages, those with the smallest seeded hash; None where no page has lines."""
-    rows = pages.where(F.length("text") > 0).select("doc_id", "page", "text").orderBy(F.xxhash64("doc_id", "page", F.lit(seed)), "text").limit(most).collect()
+    drawn = pages.where(F.length("text") > 0).select("text", F.xxhash64("doc_id", "page", F.lit(seed)).alias("u"))
+    # Hashes first: a sort of whole rows would send `most` texts of every partition to the driver.
+    last = drawn.select("u").orderBy("u").limit(most).agg(F.max("u")).first()[0]
+    rows = drawn.where(F.col("u") <= F.lit(last)).orderBy("u", "text").limit(most).collect() if last is not None else []
     texts = [x for r in rows if (x := _lines(r.text)[1])]
     return fit(texts, [seed_labels(x) for x in texts], seed=seed) if texts else None
 
