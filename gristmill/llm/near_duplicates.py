@@ -1,14 +1,14 @@
 """Records that hold essentially the same text, by banded min-hashes and sequential Bayesian verification.
 
 Records with the same words (with repetitions) form one class; only classes are
-compared. A class's min-hashes over pairs of neighbouring words are banded:
-classes that agree on a whole band are candidates. Signature batches of the
+compared. A class's min-hashes over its words, each with the number of its
+occurrence, are banded: classes that agree on a whole band are candidates. Their
+order plays no part, and at the asked similarity two bags of words have a Jaccard
+similarity of SURVIVING or more, so the number of bands follows from the
+probability of a miss allowed to any true pair. Signature batches of the
 candidates are then compared one after the other, and a candidate is dropped as
-soon as the posterior probability of a word-pair similarity of SURVIVING or more
-is below MISS. What survives is verified on all words.
-
-Records at the asked similarity of words that share hardly a pair of neighbouring
-words (texts shuffled word by word) are no candidates; moved sentences are.
+soon as the posterior probability of SURVIVING or more is below MISS. What
+survives is verified on all words.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -27,12 +28,39 @@ from gristmill.session import cut_lineage, small_side
 WORD = re.compile(r"[^\W_]+")
 WORD_SQL = r"[\p{L}\p{N}]+"
 LEAST = 0.8  # twice the common words by the sum of both numbers of words
-ROWS, BANDS = 5, 40
+SURVIVING = LEAST / (2 - LEAST)  # the least Jaccard similarity of two bags of words at LEAST
+BAND_MISS, MISS = 5e-4, 1e-4  # at SURVIVING: no band agrees; dropped in a step
+HASHES, ROWS = 256, 6
 BATCHES = (32, 96)  # one-byte min-hashes compared in the first and in the second step
-SURVIVING, MISS = 0.4, 1e-3
+BITS = 256  # one-bit min-hashes compared in the join of the bands
+
+
+def bands_needed(similarity: float = SURVIVING, miss: float = BAND_MISS) -> int:
+    """The fewest bands of ROWS drawn from HASHES min-hashes that all disagree at this similarity with probability miss or less."""
+    agree = np.arange(HASHES + 1)
+    chance = np.array([float(comb(HASHES, x)) for x in agree]) * similarity**agree * (1 - similarity) ** (HASHES - agree)
+    none = 1 - np.array([comb(x, ROWS) / comb(HASHES, ROWS) for x in agree])
+    bands = 1
+    while (chance * none**bands).sum() > miss:
+        bands += 1
+    return bands
+
+
+def fewest_bits(n: int = BITS, similarity: float = SURVIVING, miss: float = MISS) -> int:
+    """The fewest of n one-bit min-hashes that agree at this similarity but with probability miss."""
+    p, below = (1 + similarity) / 2, 0.0
+    for x in range(n + 1):
+        below += comb(n, x) * p**x * (1 - p) ** (n - x)
+        if below > miss:
+            return x
+    return n
+
+
+BANDS = bands_needed()
 _SEED = np.random.default_rng(20)
-_A = _SEED.integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
-_B = _SEED.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64)
+_A = _SEED.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
+_B = _SEED.integers(0, 2**63, HASHES, dtype=np.uint64)
+_PICKS = np.stack([_SEED.choice(HASHES, ROWS, replace=False) for _ in range(BANDS)])
 _MIX = _SEED.integers(1, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 CACHE_WORDS = 500_000
@@ -59,19 +87,21 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """ROWS * BANDS min-hashes of the pairs of neighbouring words; the first word also counts as a pair with the beginning."""
-    before = np.concatenate(([np.uint64(7)], hashes[:-1]))
-    pairs = _mixed(np.unique(before * _P + hashes))
-    low = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(pairs), 256):  # a block stays in the processor's cache
-        low = np.minimum(low, (pairs[i : i + 256, None] * _A + _B).min(axis=0))
+    """HASHES min-hashes of the words, each with the number of its occurrence, in whatever order they stand."""
+    words = np.sort(hashes)
+    at = np.arange(len(words))
+    nth = at - np.maximum.accumulate(np.where(np.concatenate(([True], words[1:] != words[:-1])), at, 0))
+    items = _mixed(_mixed(words) + nth.astype(np.uint64) * _P)
+    low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(items), 256):  # a block stays in the processor's cache
+        low = np.minimum(low, (items[i : i + 256, None] * _A + _B).min(axis=0))
     return _mixed(low)
 
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known: dict[str, int] = {}
     for batch in batches:
-        bands, first, second, n_words = [], [], [], []
+        bands, bits, first, second, n_words = [], [], [], [], []
         for kind, words in zip(batch["kind_id"], batch["text"].str.split(" ")):
             if len(known) > CACHE_WORDS:
                 known.clear()
@@ -79,13 +109,14 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if fresh:
                 known.update(zip(fresh, pd.util.hash_array(np.array(fresh, object), categorize=False).tolist()))
             sig = signature(np.fromiter((known[w] for w in words), np.uint64, len(words)))
-            mixed = _mixed((sig.reshape(BANDS, ROWS) * _MIX).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * _P + np.uint64(kind & 0xFFFFFFFF))
+            mixed = _mixed((sig[_PICKS] * _MIX).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * _P + np.uint64(kind & 0xFFFFFFFF))
             bands.append(mixed.view(np.int64))
-            octets = (sig[:: ROWS * BANDS // sum(BATCHES)][: sum(BATCHES)] & np.uint64(255)).astype(np.uint8)
+            octets = (sig[: sum(BATCHES)] & np.uint64(255)).astype(np.uint8)
+            bits.append(np.packbits((sig[-BITS:] & np.uint64(1)).astype(np.uint8)).view(np.int64))
             n_words.append(len(words))
             first.append(octets[: BATCHES[0]].tobytes())
             second.append(octets[BATCHES[0] :].tobytes())
-        yield pd.DataFrame({"class_id": batch["class_id"], "n": n_words, "bands": bands, "first": first, "second": second})
+        yield pd.DataFrame({"class_id": batch["class_id"], "n": n_words, "bands": bands, "bits": bits, "first": first, "second": second})
 
 
 def _agreeing(a: pd.Series, b: pd.Series, n: int) -> np.ndarray:
@@ -135,13 +166,15 @@ def class_links(texts: DataFrame, least: float = LEAST) -> DataFrame:
     to the verification only where a pair needs them.
     """
     classes = texts.groupBy("class_id", F.hash("kind").alias("kind_id")).agg(F.min("text").alias("text"))
-    sketches = cut_lineage(classes.mapInPandas(_sketch, "class_id long, n int, bands array<long>, first binary, second binary"))
-    bands = sketches.select("class_id", "n", F.explode("bands").alias("band"))
-    a = bands.select("band", F.col("class_id").alias("a"), F.col("n").alias("n_a"))
-    b = bands.select("band", F.col("class_id").alias("b"), F.col("n").alias("n_b"))
+    sketches = cut_lineage(classes.mapInPandas(_sketch, "class_id long, n int, bands array<long>, bits array<long>, first binary, second binary"))
+    words = [F.col("bits")[k].alias(f"bits{k}") for k in range(BITS // 64)]
+    bands = sketches.select("class_id", "n", *words, F.explode("bands").alias("band"))
+    side = lambda k: bands.select("band", F.col("class_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in bands.columns[1:-1]])
+    differ = sum((F.bit_count(F.col(f"bits{k}_a").bitwiseXOR(F.col(f"bits{k}_b"))) for k in range(BITS // 64)), F.lit(0))
     may_reach = 2 * F.least("n_a", "n_b") >= least * (F.col("n_a") + F.col("n_b")) - 1e-9
     # Partitioned by one side only: the next join needs no further exchange.
-    pairs = a.join(b, "band").where((F.col("a") < F.col("b")) & may_reach).select("a", "b").repartition("a").dropDuplicates(["a", "b"]).withColumn("matches", F.lit(0))
+    alike = (F.col("a") < F.col("b")) & may_reach & (differ <= BITS - fewest_bits(similarity=least / (2 - least)))
+    pairs = side("a").join(side("b"), "band").where(alike).select("a", "b").repartition("a").dropDuplicates(["a", "b"]).withColumn("matches", F.lit(0))
     done = 0
     for part, n in zip(("first", "second"), BATCHES):
         side = lambda k, part=part: sketches.select(F.col("class_id").alias(k), F.col(part).alias(f"sig_{k}"))
