@@ -66,6 +66,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.repeated_lines(lines, cut_lineage(repeated_lines.repeated_blocks(lines)))
 
 
+def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of a repeated block of any number of lines."""
+    return repeated_lines.longest_blocks(cut_lineage(_lines_by_type(spark, sf_dir)))
+
+
 def p5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = inputs.doc_facts(spark, sf_dir).select("doc_id", F.col("doc_type").alias("source"))
     return repeated_lines.without_repeated_lines(table(spark, sf_dir, "pages"), small_side(sources))
@@ -94,7 +99,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p4_found, p4_text, p5_found, p5_pages, p6_found, p6_items, p7_selection, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p4_found, p4_text, p5_found, p5_blocks, p5_pages, p6_found, p6_items, p7_selection, p7_shares, p8_found)}
 ORACLE_SQL: dict[str, str] = {
     "p5_found": r"""
         WITH t AS (SELECT doc_id, coalesce(max(doc_type), '') AS doc_type FROM docs GROUP BY doc_id),

@@ -7,6 +7,7 @@ which is a suffix array over each source's concatenated lines: equal prefixes
 stand next to each other, and one source or line may span many partitions.
 Neighbouring suffixes' common prefixes give the blocks; a block that touches a
 partition's edge is counted from its document identifiers after the sort.
+Blocks of any length come by prefix doubling from there: longest_blocks.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.session import cut_lineage
+
 DEPTH = 4
 SUFFIX = [f"s{k}" for k in range(1, DEPTH + 1)]
 BLOCK_SCHEMA = "source long, depth int, " + ", ".join(f"{s} long" for s in SUFFIX) + ", doc long, n_docs long"
@@ -122,6 +125,54 @@ def repeated_lines(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     return each.join(F.broadcast(ones), ["source_key", "lid"], "left_semi").select("doc_id", "page", "line_no").distinct()
 
 
+def longest_blocks(lines: DataFrame, share: float = 0.2, least: int = 5) -> DataFrame:
+    """doc_id, page, first_line, last_line, n_lines, n_docs: every place of a repeated block that can't be made longer there.
+
+    A block's lines follow each other, lines without letters and digits left out,
+    and the whole block stands in n_docs of the source's documents: at least share
+    of them, and at least `least`. Blocks of 2, 4, 8, ... lines are made of two of
+    half the length until none is repeated. A place where the longest of these has
+    n lines begins repeated blocks of less than 2 n lines; all their lengths are then
+    counted at once, so a block is counted wherever it stands in a longer one too.
+    """
+    once = lines.dropDuplicates(["doc_id", "page"])
+    sizes = once.groupBy(F.xxhash64("source").alias("source")).agg(F.count_distinct("doc_id").alias("source_docs"))
+    at = ["doc_id", "page", "at"]
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy("source", "key").agg(F.count_distinct("doc_id").alias("n_docs")).join(sizes, "source")
+        kept = counts.where((F.col("n_docs") >= least) & (F.col("n_docs") >= F.col("source_docs") * share - 1e-9))
+        return cut_lineage(rows.join(kept.select("source", "key", "n_docs"), ["source", "key"]))
+
+    each = once.select(F.xxhash64("source").alias("source"), "doc_id", "page", F.posexplode("lines").alias("at", "l"))
+    each = each.select("source", *at, F.col("l.line_no").alias("line_no"), F.col("l.lid").alias("key"))
+    numbers = repeated(each)
+    levels = [numbers.select("source", *at, "key")]
+    while True:
+        half = 2 ** (len(levels) - 1)
+        after = levels[-1].select("doc_id", "page", (F.col("at") - half).alias("at"), F.col("key").alias("more"))
+        longer = repeated(levels[-1].join(after, at).select("source", *at, F.xxhash64("key", "more").alias("key")))
+        if longer.isEmpty():
+            break
+        levels.append(longer.select("source", *at, "key"))
+    bound = levels[0].select(*at, F.lit(1).alias("most"))
+    for k, level in enumerate(levels[1:], 1):
+        bound = bound.unionByName(level.select(*at, F.lit(2 ** (k + 1) - 1).alias("most")))
+    bound = bound.groupBy(*at).agg(F.max("most").alias("most")).groupBy("doc_id", "page").agg(F.collect_list(F.struct("at", "most")).alias("starts"))
+    ids = once.select(F.xxhash64("source").alias("source"), "doc_id", "page", F.transform("lines", lambda x: x["lid"]).alias("ids"))
+    lengths = lambda x: F.sequence(F.lit(1), F.least(x["most"], F.size("ids") - x["at"]))
+    block = lambda x, n: F.struct(x["at"].alias("at"), n.alias("n_lines"), F.xxhash64(n, F.slice("ids", x["at"] + 1, n)).alias("key"))
+    tried = ids.join(bound, ["doc_id", "page"]).select("source", "doc_id", "page", F.explode(F.flatten(F.transform("starts", lambda x: F.transform(lengths(x), lambda n: block(x, n))))).alias("b"))
+    found = repeated(tried.select("source", "doc_id", "page", "b.*"))
+    places = found.groupBy(*at).agg(F.max("n_lines").alias("n_lines"), F.max_by("n_docs", "n_lines").alias("n_docs"))
+    before = Window.partitionBy("doc_id", "page").orderBy("at")
+    end = F.col("at") + F.col("n_lines")
+    whole = places.withColumn("reached", F.lag(end).over(before)).where(F.col("reached").isNull() | (F.col("reached") < end))
+    last = numbers.select("doc_id", "page", F.col("at").alias("end"), F.col("line_no").alias("last_line"))
+    named = whole.withColumn("end", end - 1).join(last, ["doc_id", "page", "end"]).join(numbers.select(*at, F.col("line_no").alias("first_line")), at)
+    return named.select("doc_id", "page", "first_line", "last_line", "n_lines", "n_docs")
+
+
 def without_repeated_lines(pages: DataFrame, sources: DataFrame, share: float = 0.2, least: int = 5) -> DataFrame:
     """doc_id, page, text, n_removed: each page once, its repeated lines deleted, all else kept."""
     lines = identified_lines(pages, sources)

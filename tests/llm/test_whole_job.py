@@ -1,6 +1,6 @@
 import random
 
-from gristmill.llm import near_duplicates
+from gristmill.llm import near_duplicates, repeated_lines
 
 
 def test_near_duplicates_with_evenly_spread_edits(spark):
@@ -18,3 +18,30 @@ def test_bands_follow_from_the_chosen_miss():
     few, many = (near_duplicates.bands_needed(miss=m) for m in (1e-2, near_duplicates.BAND_MISS))
     assert few < many == near_duplicates.BANDS
     assert near_duplicates.SURVIVING <= 2 / 3 + 1e-12
+
+
+def test_longest_blocks_agree_with_brute_force(spark):
+    rng = random.Random(5)
+    notice = [f"notice {i}" for i in range(7)]
+    pages = []
+    for d in range(30):
+        lines = [f"own {d} {i}" for i in range(3)] + (notice if d % 2 else notice[:5] if d % 4 else ["share this"]) + [f"end {d}"]
+        pages.append((f"d{d}", 1, "\n--\n".join(lines) if rng.random() < 0.3 else "\n".join(lines)))
+    keys = {d: [(n, x) for n, x in enumerate(t.split("\n"), 1) if x != "--"] for d, _, t in pages}
+    docs_of = {}
+    for d, rows in keys.items():
+        for i in range(len(rows)):
+            for j in range(i + 1, len(rows) + 1):
+                docs_of.setdefault(tuple(x for _, x in rows[i:j]), set()).add(d)
+    want = set()
+    for d, rows in keys.items():
+        reached = 0
+        for i in range(len(rows)):
+            fits = [j for j in range(i + 1, len(rows) + 1) if len(docs_of[tuple(x for _, x in rows[i:j])]) >= 6]
+            if fits and fits[-1] > reached:
+                reached = fits[-1]
+                want.add((d, 1, rows[i][0], rows[reached - 1][0], reached - i, len(docs_of[tuple(x for _, x in rows[i:reached])])))
+    df = spark.createDataFrame([*pages, pages[0], ("d1", 2, None)], "doc_id string, page int, text string")
+    sources = spark.createDataFrame([(f"d{d}", "s") for d in range(30)], "doc_id string, source string")
+    got = [tuple(r) for r in repeated_lines.longest_blocks(repeated_lines.identified_lines(df, sources)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {w[4] for w in want} >= {5, 7}
