@@ -173,21 +173,27 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+def windows(n: int) -> list[int]:
+    """First lines of the overlapping windows over a page of n lines."""
+    return [a for a in range(0, n, WINDOW - 2 * OVERLAP) if a == 0 or a + 2 * OVERLAP < n]
+
+
 def fit(pages: list[list[str]], labels: list[np.ndarray], epochs: int = EPOCHS, seed: int = 3) -> BiLSTM:
-    """Train by Adam on whole pages (the first WINDOW lines of longer ones)."""
+    """Train by Adam on whole pages, longer ones in windows whose vectors are those of the whole page."""
     rng, model = np.random.default_rng(seed), BiLSTM(seed)
     first = {k: np.zeros_like(v) for k, v in model.w.items()}
     second = {k: np.zeros_like(v) for k, v in model.w.items()}
     step = 0
+    pieces = [(i, a) for i, p in enumerate(pages) for a in windows(len(p))]
     for epoch in range(epochs):
-        order = rng.permutation(len(pages))
-        order = order[np.argsort([len(pages[i]) // 8 for i in order], kind="stable")]
+        order = rng.permutation(len(pieces))
+        order = order[np.argsort([min(len(pages[i]) - a, WINDOW) // 8 for i, a in (pieces[k] for k in order)], kind="stable")]
         batches = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
         for b in rng.permutation(len(batches)):
-            x, mask = _padded([block_vectors(pages[i][:WINDOW], WORD_DROP, rng) for i in batches[b]])
+            x, mask = _padded([block_vectors(pages[i], WORD_DROP, rng)[a : a + WINDOW] for i, a in (pieces[k] for k in batches[b])])
             y = np.zeros(mask.shape, np.float32)
-            for j, i in enumerate(batches[b]):
-                y[: len(labels[i][:WINDOW]), j] = labels[i][:WINDOW]
+            for j, (i, a) in enumerate(pieces[k] for k in batches[b]):
+                y[: len(labels[i][a : a + WINDOW]), j] = labels[i][a : a + WINDOW]
             step += 1
             rate = RATE * (0.5 if epoch >= epochs - 2 else 1.0)
             for k, g in model.gradients(x, mask, y).items():
@@ -201,16 +207,18 @@ def fit(pages: list[list[str]], labels: list[np.ndarray], epochs: int = EPOCHS,
 def label_pages(model: BiLSTM, pages: list[list[str]], size: int = 64) -> list[np.ndarray]:
     """Whether each non-blank line of each page belongs to the surroundings; long pages are read in overlapping windows."""
     out = [np.zeros(len(p), bool) for p in pages]
-    pieces = [(i, a) for i, p in enumerate(pages) for a in range(0, max(1, len(p)), WINDOW - 2 * OVERLAP) if p and (a == 0 or a + 2 * OVERLAP < len(p))]
+    pieces = [(i, a) for i, p in enumerate(pages) for a in windows(len(p))]
+    long = {i: block_vectors(p) for i, p in enumerate(pages) if len(p) > WINDOW}
     pieces.sort(key=lambda s: min(len(pages[s[0]]) - s[1], WINDOW))
     for j in range(0, len(pieces), size):
         part = pieces[j : j + size]
-        x, mask = _padded([block_vectors(pages[i][a : a + WINDOW]) for i, a in part])
+        x, mask = _padded([long[i][a : a + WINDOW] if i in long else block_vectors(pages[i]) for i, a in part])
         scores = model.scores(x, mask)
         for col, (i, a) in enumerate(part):
             n = len(pages[i][a : a + WINDOW])
             skip = OVERLAP if a else 0
-            out[i][a + skip : a + n] = scores[skip:n, col] > 0
+            end = n - OVERLAP if a + n < len(pages[i]) else n  # each window writes its inner part only
+            out[i][a + skip : a + end] = scores[skip:end, col] > 0
     return out
 
 

@@ -1,6 +1,8 @@
 import random
 
-from gristmill.llm import near_duplicates, repeated_lines
+import numpy as np
+
+from gristmill.llm import main_content, near_duplicates, repeated_lines
 
 
 def test_near_duplicates_with_evenly_spread_edits(spark):
@@ -45,3 +47,22 @@ def test_longest_blocks_agree_with_brute_force(spark):
     sources = spark.createDataFrame([(f"d{d}", "s") for d in range(30)], "doc_id string, source string")
     got = [tuple(r) for r in repeated_lines.longest_blocks(repeated_lines.identified_lines(df, sources)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and {w[4] for w in want} >= {5, 7}
+
+
+class FarFromTheEnd:
+    def scores(self, x, mask):
+        return x[:, :, 2] - 0.99  # above 0 where 20 lines or more follow on the page
+
+
+def test_windows_of_long_pages_keep_their_place_on_the_page():
+    sizes = (700, 720, 400, 401, 5)
+    found = main_content.label_pages(FarFromTheEnd(), [[f"line {i}" for i in range(n)] for n in sizes])
+    for n, marks in zip(sizes, found):
+        assert marks.tolist() == [i < n - 20 for i in range(n)]
+
+
+def test_training_reads_long_pages_whole(monkeypatch):
+    seen = []
+    monkeypatch.setattr(main_content.BiLSTM, "gradients", lambda self, x, mask, y: seen.append(int((y * mask).sum())) or {})
+    main_content.fit([["x"] * 900], [np.ones(900, np.int8)], epochs=1)
+    assert sum(seen) >= 900
