@@ -66,3 +66,13 @@ def test_training_reads_long_pages_whole(monkeypatch):
     monkeypatch.setattr(main_content.BiLSTM, "gradients", lambda self, x, mask, y: seen.append(int((y * mask).sum())) or {})
     main_content.fit([["x"] * 900], [np.ones(900, np.int8)], epochs=1)
     assert sum(seen) >= 900
+
+
+def test_every_order_of_a_class_is_near(spark):
+    rng = random.Random(7)
+    words = [f"w{i:03d}" for i in range(100)]
+    other = rng.sample(words, 100)
+    near = other[:95] + [f"x{i}" for i in range(5)]
+    rows = [("chunk", k, " ".join(w)) for k, w in (("a", words), ("b", other), ("c", near))]
+    got = {tuple(r) for r in near_duplicates.near_duplicate_pairs(spark.createDataFrame(rows, "kind string, key string, text string")).collect()}
+    assert got == {("chunk", "a", "b"), ("chunk", "a", "c"), ("chunk", "b", "c")}
