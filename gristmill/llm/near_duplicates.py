@@ -2,13 +2,15 @@
 
 Records with the same words (with repetitions) form one class; only classes are
 compared. A class's min-hashes over its words, each with the number of its
-occurrence, are banded: classes that agree on a whole band are candidates. Their
-order plays no part, and at the asked similarity two bags of words have a Jaccard
-similarity of SURVIVING or more, so the number of bands follows from the
-probability of a miss allowed to any true pair. Signature batches of the
-candidates are then compared one after the other, and a candidate is dropped as
-soon as the posterior probability of SURVIVING or more is below MISS. What
-survives is verified on all words.
+occurrence, are banded: classes that agree on a whole band are candidates. Order
+plays no part. Items of more than half of a kind's records make unrelated texts
+alike, so bands are made of the other, rarer ones; a class with few of them has
+bands over all its items as well. The numbers of bands follow from the
+probability of a miss allowed to a pair right at the asked similarity; above it
+misses vanish quickly. Signatures over all words of the candidates are then
+compared batch by batch, first in single bits, then in bytes, and a candidate is
+dropped as soon as the posterior probability of the asked similarity is below
+MISS. What survives is verified on all words.
 """
 
 from __future__ import annotations
@@ -20,172 +22,264 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.session import cut_lineage, small_side
+from gristmill.session import cut_lineage, release, small_side
 
 WORD = re.compile(r"[^\W_]+")
-WORD_SQL = r"[\p{L}\p{N}]+"
 LEAST = 0.8  # twice the common words by the sum of both numbers of words
-SURVIVING = LEAST / (2 - LEAST)  # the least Jaccard similarity of two bags of words at LEAST
-BAND_MISS, MISS = 5e-4, 1e-4  # at SURVIVING: no band agrees; dropped in a step
-HASHES, ROWS = 256, 6
-BATCHES = (32, 96)  # one-byte min-hashes compared in the first and in the second step
-BITS = 256  # one-bit min-hashes compared in the join of the bands
+BAND_MISS, MISS = 0.1, 1e-3  # at the asked similarity itself: no band over all items agrees; dropped in a batch
+RARE_MISS = 0.25  # no band over rarer items agrees, for edits spread evenly over a text that has half of them
+HASHES = 256  # one-byte min-hashes of a signature
+RARE_ROWS, ROWS = 8, 10  # how many make a band over the rarer words, over all words
+COMMON = 0.5  # share of a kind's records that hold a common item (a word for the nth time)
+FEW_RARE = 0.4  # a class with a smaller share of rarer items has bands over all of them as well
+BATCH = 64  # bytes compared at a time after the bits
+BAND_BITS = 48
+CACHE_WORDS = 500_000
+_SEED = np.random.default_rng(20)
+_A = _SEED.integers(1, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
+_B = _SEED.integers(0, 2**32, HASHES, dtype=np.uint32)
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
 
+def jaccard_of(least: float) -> float:
+    """The least Jaccard similarity of two bags of words (with occurrence numbers) at `least`."""
+    return least / (2 - least)
 
-def bands_needed(similarity: float = SURVIVING, miss: float = BAND_MISS) -> int:
-    """The fewest bands of ROWS drawn from HASHES min-hashes that all disagree at this similarity with probability miss or less."""
+
+def rare_jaccard_of(least: float, share: float = 0.5) -> float:
+    """The Jaccard similarity of the rarer words of a pair at `least` where rarer words take the place of words chosen evenly.
+
+    share is that of the rarer words in the text; more of them give a greater similarity.
+    """
+    return least * share / (share + 1 - least)
+
+
+def bands_needed(similarity: float, rows: int, miss: float) -> int:
+    """The fewest bands of `rows` drawn from HASHES min-hashes that all disagree at this similarity with probability miss or less."""
     agree = np.arange(HASHES + 1)
     chance = np.array([float(comb(HASHES, x)) for x in agree]) * similarity**agree * (1 - similarity) ** (HASHES - agree)
-    none = 1 - np.array([comb(x, ROWS) / comb(HASHES, ROWS) for x in agree])
+    none = 1 - np.array([comb(x, rows) / comb(HASHES, rows) for x in agree])
     bands = 1
     while (chance * none**bands).sum() > miss:
         bands += 1
     return bands
 
 
-def fewest_bits(n: int = BITS, similarity: float = SURVIVING, miss: float = MISS) -> int:
-    """The fewest of n one-bit min-hashes that agree at this similarity but with probability miss."""
-    p, below = (1 + similarity) / 2, 0.0
-    for x in range(n + 1):
-        below += comb(n, x) * p**x * (1 - p) ** (n - x)
-        if below > miss:
-            return x
-    return n
-
-
-BANDS = bands_needed()
-_SEED = np.random.default_rng(20)
-_A = _SEED.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
-_B = _SEED.integers(0, 2**63, HASHES, dtype=np.uint64)
-_PICKS = np.stack([_SEED.choice(HASHES, ROWS, replace=False) for _ in range(BANDS)])
-_MIX = _SEED.integers(1, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
-_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-CACHE_WORDS = 500_000
-
+def fewest_agreeing(n: int, similarity: float, by_chance: float, miss: float = MISS) -> int:
+    """The fewest of n agreeing parts with which `similarity` or more keeps a posterior probability of miss.
 
-def fewest_matches(n: int, prior: float = 1.0) -> int:
-    """The fewest of n agreeing min-hashes with which similarity SURVIVING keeps a posterior probability of MISS (Beta(1, 1) prior)."""
+    Parts agree with the similarity itself, or else by chance; every similarity is equally likely before.
+    """
     x = np.linspace(0.0, 1.0, 4001)[1:-1]
+    agree = x + (1 - x) * by_chance
     for m in range(n + 1):
-        log = (m + prior - 1) * np.log(x) + (n - m + prior - 1) * np.log1p(-x)
+        log = m * np.log(agree) + (n - m) * np.log1p(-agree)
         p = np.exp(log - log.max())
-        if p[x >= SURVIVING].sum() / p.sum() >= MISS:
+        if p[x >= similarity].sum() / p.sum() >= miss:
             return m
     return n
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD_SQL), 0)
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * _Q
     return x ^ (x >> np.uint64(32))
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """HASHES min-hashes of the words, each with the number of its occurrence, in whatever order they stand."""
-    words = np.sort(hashes)
+def items_of(words: np.ndarray) -> np.ndarray:
+    """A hash of every word with the number of its occurrence; words are sorted hashes."""
     at = np.arange(len(words))
     nth = at - np.maximum.accumulate(np.where(np.concatenate(([True], words[1:] != words[:-1])), at, 0))
-    items = _mixed(_mixed(words) + nth.astype(np.uint64) * _P)
-    low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(items), 256):  # a block stays in the processor's cache
-        low = np.minimum(low, (items[i : i + 256, None] * _A + _B).min(axis=0))
-    return _mixed(low)
+    return _item(words, nth)
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str, int] = {}
-    for batch in batches:
-        bands, bits, first, second, n_words = [], [], [], [], []
-        for kind, words in zip(batch["kind_id"], batch["text"].str.split(" ")):
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            fresh = [w for w in dict.fromkeys(words) if w not in known]
-            if fresh:
-                known.update(zip(fresh, pd.util.hash_array(np.array(fresh, object), categorize=False).tolist()))
-            sig = signature(np.fromiter((known[w] for w in words), np.uint64, len(words)))
-            mixed = _mixed((sig[_PICKS] * _MIX).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * _P + np.uint64(kind & 0xFFFFFFFF))
-            bands.append(mixed.view(np.int64))
-            octets = (sig[: sum(BATCHES)] & np.uint64(255)).astype(np.uint8)
-            bits.append(np.packbits((sig[-BITS:] & np.uint64(1)).astype(np.uint8)).view(np.int64))
-            n_words.append(len(words))
-            first.append(octets[: BATCHES[0]].tobytes())
-            second.append(octets[BATCHES[0] :].tobytes())
-        yield pd.DataFrame({"class_id": batch["class_id"], "n": n_words, "bands": bands, "bits": bits, "first": first, "second": second})
-
-
-def _agreeing(a: pd.Series, b: pd.Series, n: int) -> np.ndarray:
-    x, y = (np.frombuffer(b"".join(map(bytes, s)), np.uint8).reshape(-1, n) for s in (a, b))
-    return (x == y).sum(axis=1)
-
-
-def _step(n_before: int, n: int):
-    """Compare one more batch of min-hashes and keep the pairs that the posterior doesn't rule out."""
-    least = fewest_matches(n_before + n)
-
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            matches = batch["matches"].to_numpy() + (_agreeing(batch["sig_a"], batch["sig_b"], n) if len(batch) else 0)
-            yield batch[["a", "b"]].assign(matches=matches.astype("int32"))[matches >= least]
+def _item(words: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    return _mixed(_mixed(words) + nth.astype(np.uint64) * _P)
 
-    return step
 
+def signature(items: np.ndarray) -> np.ndarray:
+    """One byte of each of HASHES min-hashes."""
+    short, low = (items >> np.uint64(32)).astype(np.uint32), np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(short), 256):  # a block stays in the processor's cache
+        low = np.minimum(low, (short[i : i + 256, None] * _A + _B).min(axis=0))
+    return _mixed(low.astype(np.uint64) + _P).astype(np.uint8)
+
+
+def words_in(text: str) -> list[str]:
+    return WORD.findall(text.lower())
+
+
+def _word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """Sorted hashes of words; known keeps those of words seen before."""
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    fresh = [w for w in dict.fromkeys(words) if w not in known]
+    if fresh:
+        known.update(zip(fresh, pd.util.hash_array(np.array(fresh, object), categorize=False).tolist()))
+    return np.sort(np.fromiter((known[w] for w in words), np.uint64, len(words)))
+
+
+def _records_of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Number of a kind's records in which a word occurs for the nth time (from 0), and under a null word the number of its records; partial sums."""
+    counts: Counter = Counter()
+
+    def partial() -> pd.DataFrame:
+        kinds, words, nth = zip(*counts) if counts else ((), (), ())
+        return pd.DataFrame({"kind_id": pd.Series(kinds, dtype="int32"), "word": pd.Series(words, dtype=object), "nth": pd.Series(nth, dtype="int32"), "n": pd.Series(list(counts.values()), dtype="int64")})
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        similarity = []
-        for x, y in zip(batch["text_a"].str.split(" "), batch["text_b"].str.split(" ")):
-            similarity.append(2 * (Counter(x) & Counter(y)).total() / (len(x) + len(y)))
-        yield batch[["a", "b"]].assign(similarity=np.array(similarity, float))
+        for kind, text in zip(batch["kind_id"].tolist(), batch["text"]):
+            if words := Counter(words_in(text)):
+                counts.update((kind, w, i) for w, n in words.items() for i in range(n))
+                counts[kind, None, 0] += 1
+            if len(counts) > CACHE_WORDS:
+                yield partial()
+                counts.clear()
+    yield partial()
+
+
+def common_items(named: DataFrame) -> dict[int, np.ndarray]:
+    """By kind, the items in more than COMMON of its records: at most 1 / COMMON times the mean number of words of a record."""
+    counts = named.select("kind_id", "text").mapInPandas(_records_of_items, "kind_id int, word string, nth int, n long")
+    counts = cut_lineage(counts.groupBy("kind_id", "word", "nth").agg(F.sum("n").alias("n")))
+    sizes = counts.where("word is null").select("kind_id", F.col("n").alias("size"))
+    rows = counts.where("word is not null").join(sizes, "kind_id").where(F.col("n") > COMMON * F.col("size")).select("kind_id", "word", "nth").toPandas()
+    release(counts)
+    hashes = lambda g: _item(pd.util.hash_array(g["word"].to_numpy(object), categorize=False), g["nth"].to_numpy())
+    return {int(k): np.sort(hashes(g)) for k, g in rows.groupby("kind_id")}
+
+
+def _sketch(common: dict[int, np.ndarray]):
+    none = np.empty(0, np.uint64)
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            rows = []
+            for kind, key, text_id, kind_id, text in batch.itertuples(index=False, name=None):
+                if not (words := words_in(text)):
+                    continue
+                hashes = _word_hashes(words, known)
+                items = items_of(hashes)
+                rare = ~np.isin(items, common.get(kind_id, none))
+                name = _mixed(items.sum(keepdims=True) + np.array([kind_id & 0xFFFFFFFF], np.uint64) * _P + np.uint64(len(words)))
+                of_rare = signature(items[rare]).tobytes() if rare.any() else b""
+                rows.append((kind, key, text_id, int(name.view(np.int64)[0]), len(words), bool(rare.mean() < FEW_RARE), of_rare, signature(items).tobytes()))
+            yield pd.DataFrame(rows, columns=["kind", "key", "text_id", "class_id", "n", "few_rare", "rare_sig", "sig"])
 
+    return sketch
 
-def words_by_class(records: DataFrame) -> DataFrame:
-    """kind, key, class_id, text (its words with single spaces) of records (kind, key, text), written once.
+
+def sketched(records: DataFrame) -> DataFrame:
+    """kind, key, text_id, class_id, n, few_rare, rare_sig, sig of records (kind, key, text), written once; texts stay where they are.
 
     Texts without words are in no class. A key with several texts is a member with
-    each. The class is named by the hash of all its words in order of the alphabet.
+    each. A class is named by a hash of its kind and all its words, whatever their order.
     """
-    words = records.where(F.col("key").isNotNull()).select("kind", "key", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
-    bag = F.md5(F.concat_ws(" ", F.col("kind"), F.array_join(F.array_sort("words"), " ")))
-    return cut_lineage(words.select("kind", "key", F.xxhash64(bag, F.lit(1)).alias("class_id"), F.array_join("words", " ").alias("text")))
+    named = records.where(F.col("key").isNotNull() & F.col("text").isNotNull()).select("kind", "key", F.xxhash64("kind", "text").alias("text_id"), F.hash("kind").alias("kind_id"), "text")
+    schema = "kind string, key string, text_id long, class_id long, n int, few_rare boolean, rare_sig binary, sig binary"
+    return cut_lineage(named.mapInPandas(_sketch(common_items(named)), schema))
+
+
+def _bands(rare_bands: int, all_bands: int):
+    rng = np.random.default_rng(21)
+    family = []
+    for n_bands, rows in ((rare_bands, RARE_ROWS), (all_bands, ROWS)):
+        picks = np.stack([rng.choice(HASHES, rows, replace=False) for _ in range(n_bands)])
+        family.append((picks, rng.integers(1, 2**63, rows, dtype=np.uint64) | np.uint64(1), rng.integers(1, 2**63, n_bands, dtype=np.uint64)))
+    mask = np.uint64(2**BAND_BITS - 1)
+
+    def of(sig: bytes, kind: int, which: int) -> np.ndarray:
+        picks, mix, number = family[which]
+        own = (np.frombuffer(sig, np.uint8).astype(np.uint64)[picks] * mix).sum(axis=1) + number + np.uint64(kind & 0xFFFFFFFF)
+        return (_mixed(_mixed(own)) & mask).view(np.int64)
+
+    def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for few, rare_sig, sig, kind in zip(batch["few_rare"], batch["rare_sig"], batch["sig"], batch["kind_id"].tolist()):
+                mine = [of(rare_sig, kind, 0)] if rare_sig else []
+                found.append(np.concatenate([*mine, of(sig, kind, 1)]) if few else mine[0])
+            yield pd.DataFrame({"id": batch["id"], "n": batch["n"], "bands": found})
+
+    return bands
 
 
-def members_of(texts: DataFrame) -> DataFrame:
-    return cut_lineage(texts.select("kind", "key", "class_id").distinct())
+def _by_batches(similarity: float):
+    """Compare the signatures of pairs BATCH bytes at a time; the posterior drops pairs after each batch."""
+    least = {n: fewest_agreeing(n, similarity, 1 / 256) for n in range(BATCH, HASHES + 1, BATCH)}
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(map(bytes, batch[s])), np.uint8).reshape(-1, HASHES) for s in ("sig_a", "sig_b"))
+            alive, matches = np.arange(len(batch)), np.zeros(len(batch), np.int64)
+            for n, fewest in least.items():
+                part = slice(n - BATCH, n)
+                matches = matches + (x[alive, part] == y[alive, part]).sum(axis=1)
+                kept = matches >= fewest
+                alive, matches = alive[kept], matches[kept]
+            yield batch[["a", "b"]].iloc[alive]
 
+    return compare
 
-def class_links(texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """a, b, similarity: classes of different words and one kind at `least` or more, a < b.
 
-    The numbers of words alone bound the similarity, so bands carry them. Texts move
-    to the verification only where a pair needs them.
+def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        similarity = []
+        for a, b in zip(batch["text_a"], batch["text_b"]):
+            x, y = words_in(a), words_in(b)
+            similarity.append(2 * (Counter(x) & Counter(y)).total() / (len(x) + len(y)))
+        yield batch[["a", "b"]].assign(similarity=np.array(similarity, float))
+
+
+def class_links(records: DataFrame, sketches: DataFrame, least: float = LEAST, *used: DataFrame) -> DataFrame:
+    """a, b, similarity: names of classes of one kind with different words at `least` or more, a < b.
+
+    sketches are those of records, and tables given as used are deleted once read. Band rows hold 14 bytes or so: a band, a running
+    number and the number of words, which alone bounds the similarity. One-bit
+    min-hashes are compared first, whole signatures only for what they leave, and
+    texts move only where a pair is left to be verified. A band that very many
+    classes share is split by Spark's skew join.
     """
-    classes = texts.groupBy("class_id", F.hash("kind").alias("kind_id")).agg(F.min("text").alias("text"))
-    sketches = cut_lineage(classes.mapInPandas(_sketch, "class_id long, n int, bands array<long>, bits array<long>, first binary, second binary"))
-    words = [F.col("bits")[k].alias(f"bits{k}") for k in range(BITS // 64)]
-    bands = sketches.select("class_id", "n", *words, F.explode("bands").alias("band"))
-    side = lambda k: bands.select("band", F.col("class_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in bands.columns[1:-1]])
-    differ = sum((F.bit_count(F.col(f"bits{k}_a").bitwiseXOR(F.col(f"bits{k}_b"))) for k in range(BITS // 64)), F.lit(0))
+    similarity = jaccard_of(least)
+    first = [F.first(c).alias(c) for c in ("kind", "n", "few_rare", "rare_sig", "sig")]
+    whole = sketches.groupBy("class_id").agg(F.min("text_id").alias("text_id"), *first)
+    classes = cut_lineage(whole.select(F.monotonically_increasing_id().alias("id"), F.hash("kind").alias("kind_id"), "class_id", "text_id", "n", "few_rare", "rare_sig", "sig"), *used)
+    bands = _bands(bands_needed(rare_jaccard_of(least), RARE_ROWS, RARE_MISS), bands_needed(similarity, ROWS, BAND_MISS))
+    banded = classes.select("id", "kind_id", "n", "few_rare", "rare_sig", "sig").mapInPandas(bands, "id long, n int, bands array<long>")
+    rows = banded.select("id", "n", F.explode("bands").alias("band"))
+    side = lambda k: rows.select("band", F.col("id").alias(k), F.col("n").alias(f"n_{k}"))
     may_reach = 2 * F.least("n_a", "n_b") >= least * (F.col("n_a") + F.col("n_b")) - 1e-9
     # Partitioned by one side only: the next join needs no further exchange.
-    alike = (F.col("a") < F.col("b")) & may_reach & (differ <= BITS - fewest_bits(similarity=least / (2 - least)))
-    pairs = side("a").join(side("b"), "band").where(alike).select("a", "b").repartition("a").dropDuplicates(["a", "b"]).withColumn("matches", F.lit(0))
-    done = 0
-    for part, n in zip(("first", "second"), BATCHES):
-        side = lambda k, part=part: sketches.select(F.col("class_id").alias(k), F.col(part).alias(f"sig_{k}"))
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_step(done, n), "a long, b long, matches int")
-        done += n
-    pairs = cut_lineage(pairs.select("a", "b"))
-    needed = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).distinct()
-    verified = texts.select("class_id", "text").join(small_side(needed), "class_id", "left_semi").groupBy("class_id").agg(F.min("text").alias("text"))
-    side = lambda k: verified.select(F.col("class_id").alias(k), F.col("text").alias(f"text_{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.mapInPandas(_verify, "a long, b long, similarity double").where(F.col("similarity") >= least)
+    pairs = cut_lineage(side("a").join(side("b"), "band").where((F.col("a") < F.col("b")) & may_reach).select("a", "b").repartition("a").dropDuplicates(["a", "b"]))
+    bits = classes.select("id", "sig").mapInPandas(_low_bits, "id long, " + ", ".join(f"w{k} long" for k in range(HASHES // 64)))
+    side = lambda k: bits.select(F.col("id").alias(k), *[F.col(f"w{i}").alias(f"w{i}_{k}") for i in range(HASHES // 64)])
+    differ = sum((F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(HASHES // 64)), F.lit(0))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= HASHES - fewest_agreeing(HASHES, similarity, 0.5)).select("a", "b")
+    near = cut_lineage(near, pairs)
+    side = lambda k: classes.select(F.col("id").alias(k), F.col("sig").alias(f"sig_{k}"))
+    pairs = cut_lineage(near.join(side("a"), "a").join(side("b"), "b").mapInPandas(_by_batches(similarity), "a long, b long"), near)
+    named = classes.select("id", "class_id", "text_id")
+    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    needed = cut_lineage(named.join(small_side(needed), "id", "left_semi"), classes)
+    texts = records.where(F.col("key").isNotNull()).select(F.xxhash64("kind", "text").alias("text_id"), "text").join(small_side(needed.select("text_id").distinct()), "text_id", "left_semi")
+    texts = needed.join(texts.groupBy("text_id").agg(F.min("text").alias("text")), "text_id")
+    side = lambda k: texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_verify, "a long, b long, similarity double").where(F.col("similarity") >= least)
+    side = lambda k: needed.select(F.col("id").alias(k), F.col("class_id").alias(f"class_{k}"))
+    links = both.join(side("a"), "a").join(side("b"), "b")
+    x, y = F.least("class_a", "class_b"), F.greatest("class_a", "class_b")
+    return cut_lineage(links.select(x.alias("a"), y.alias("b"), "similarity"), pairs, needed)
+
+
+def _low_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The lowest bit of every min-hash, packed into words."""
+    for batch in batches:
+        sigs = np.frombuffer(b"".join(map(bytes, batch["sig"])), np.uint8).reshape(-1, HASHES)
+        words = np.packbits(sigs & 1, axis=1).view(np.int64)
+        yield pd.DataFrame({"id": batch["id"]} | {f"w{k}": words[:, k] for k in range(words.shape[1])})
 
 
 def near_duplicate_pairs(records: DataFrame, least: float = LEAST) -> DataFrame:
@@ -194,11 +288,11 @@ def near_duplicate_pairs(records: DataFrame, least: float = LEAST) -> DataFrame:
     records(kind, key, text). Null keys, null texts and texts without words match
     nothing; repeated rows count once.
     """
-    texts = words_by_class(records)
-    members = members_of(texts)
-    links = cut_lineage(class_links(texts, least).select("a", "b"))
+    sketches = sketched(records)
+    members = cut_lineage(sketches.select("kind", "key", "class_id").distinct())
+    links = class_links(records, sketches, least, sketches).select("a", "b")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    same = members.select(F.col("class_id").alias("a"), F.col("class_id").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    same = members.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
     left = members.select("kind", F.col("key").alias("key_a"), F.col("class_id").alias("a"))
     right = members.select(F.col("kind").alias("kind_b"), F.col("key").alias("key_b"), F.col("class_id").alias("b"))
     pairs = both.unionByName(same).join(left, "a").join(right, "b").where("kind = kind_b and key_a < key_b")
@@ -211,19 +305,19 @@ def near_duplicate_groups(records: DataFrame, least: float = LEAST) -> DataFrame
     Labels shrink to the smallest neighbouring label, and to that label's own
     label, until none changes; every round is a join and an aggregation over links.
     """
-    texts = words_by_class(records)
-    members = members_of(texts)
-    links = cut_lineage(class_links(texts, least).select("a", "b"))
+    sketches = sketched(records)
+    members = cut_lineage(sketches.select("kind", "key", "class_id").distinct())
+    links = class_links(records, sketches, least, sketches).select("a", "b")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    before = label = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         near = both.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = label.join(near, "a").select("a", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = step.join(step.select(F.col("a").alias("label"), F.col("label").alias("further")), "label", "left")
-        new = cut_lineage(jump.select("a", F.least("label", F.coalesce("further", "label")).alias("label"), "old"))
+        new = cut_lineage(jump.select("a", F.least("label", F.coalesce("further", "label")).alias("label"), "old"), before)
+        before, label = new, new.drop("old")
         if new.where("label <> old").isEmpty():
             break
-        label = new.drop("old")
     degree = both.groupBy(F.col("a").alias("class_id")).agg(F.count("*").alias("n_links"))
     named = members.join(label.withColumnRenamed("a", "class_id"), "class_id", "left").join(degree, "class_id", "left")
     return named.select("kind", "key", F.coalesce("label", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -52,8 +52,8 @@ def test_near_duplicates_of_nothing(spark):
 
 
 def test_posterior_bound_rises_with_the_batch():
-    bounds = [near_duplicates.fewest_matches(n) for n in (16, 32, 64, 128)]
-    assert bounds == sorted(bounds) and 0 < bounds[1] < 32 * near_duplicates.SURVIVING
+    bounds = [near_duplicates.fewest_agreeing(n, 2 / 3, 1 / 256) for n in (16, 32, 64, 128)]
+    assert bounds == sorted(bounds) and 0 < bounds[1] < 32 * 2 / 3
 
 
 def test_water_filling_clamps_and_redistributes():
