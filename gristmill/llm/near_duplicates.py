@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from math import comb
 
 import numpy as np
@@ -30,7 +31,7 @@ from gristmill.session import cut_lineage, release, small_side
 WORD = re.compile(r"[^\W_]+")
 LEAST = 0.8  # twice the common words by the sum of both numbers of words
 BAND_MISS, MISS = 0.1, 1e-3  # at the asked similarity itself: no band over all items agrees; dropped in a batch
-RARE_MISS = 0.25  # no band over rarer items agrees, for edits spread evenly over a text that has half of them
+RARE_MISS = 0.2  # no band over rarer items agrees, for edits spread evenly over a text that has half of them
 HASHES = 256  # one-byte min-hashes of a signature
 RARE_ROWS, ROWS = 8, 10  # how many make a band over the rarer words, over all words
 COMMON = 0.5  # share of a kind's records that hold a common item (a word for the nth time)
@@ -39,8 +40,9 @@ BATCH = 64  # bytes compared at a time after the bits
 BAND_BITS = 48
 CACHE_WORDS = 500_000
 _SEED = np.random.default_rng(20)
-_A = _SEED.integers(1, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
-_B = _SEED.integers(0, 2**32, HASHES, dtype=np.uint32)
+_A = _SEED.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
+_ROUND = np.arange(2 * HASHES, dtype=np.uint64) << np.uint64(54)
+_NONE = np.uint64(2**64 - 1)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -100,62 +102,92 @@ def _item(words: np.ndarray, nth: np.ndarray) -> np.ndarray:
 
 
 def signature(items: np.ndarray) -> np.ndarray:
-    """One byte of each of HASHES min-hashes."""
-    short, low = (items >> np.uint64(32)).astype(np.uint32), np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
-    for i in range(0, len(short), 256):  # a block stays in the processor's cache
-        low = np.minimum(low, (short[i : i + 256, None] * _A + _B).min(axis=0))
-    return _mixed(low.astype(np.uint64) + _P).astype(np.uint8)
+    """One byte of each of HASHES min-hashes, filled round by round.
+
+    In a round every item falls into one of HASHES bins; a bin keeps the least value of
+    the first round that reaches it. Two sets agree in a bin with the probability of
+    their Jaccard similarity, and a few rounds fill all bins. What HASHES rounds leave
+    empty takes the least value over all items.
+    """
+    low = np.full(HASHES, _NONE)
+    step = 1 + 6 * HASHES // len(items)
+    for i in range(0, HASHES, step):
+        part = slice(i, min(i + step, HASHES))
+        x = items[:, None] * _A[part]  # items are mixed: the high bits of a product are a hash, the others a value
+        np.minimum.at(low, (x >> np.uint64(56)).view(np.int64).ravel(), (((x << np.uint64(8)) >> np.uint64(10)) | _ROUND[part]).ravel())
+        if low.max() != _NONE:
+            break
+    else:
+        empty = np.flatnonzero(low == _NONE)
+        low[empty] = _mixed(items[:, None] * _A[empty]).min(axis=0)
+    return _mixed(low + _P).astype(np.uint8)
+
+
+_ASCII = {c: chr(c).lower() if chr(c).isalnum() else " " for c in range(128)}
 
 
 def words_in(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters or digits in lower case."""
+    return text.translate(_ASCII).split() if text.isascii() else WORD.findall(text.lower())
+
+
+class _Hashes(dict):
+    """A 64-bit hash of every word asked for."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        self[word] = found = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return found
 
 
-def _word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
-    """Sorted hashes of words; known keeps those of words seen before."""
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    fresh = [w for w in dict.fromkeys(words) if w not in known]
-    if fresh:
-        known.update(zip(fresh, pd.util.hash_array(np.array(fresh, object), categorize=False).tolist()))
-    return np.sort(np.fromiter((known[w] for w in words), np.uint64, len(words)))
+def _word_hashes(words: list[str], known: _Hashes) -> np.ndarray:
+    """Sorted hashes of words."""
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    hashes.sort()
+    return hashes
 
 
-def _records_of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Number of a kind's records in which a word occurs for the nth time (from 0), and under a null word the number of its records; partial sums."""
-    counts: Counter = Counter()
+def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Number of a kind's records in which a word occurs exactly n times, and under a null word the number of its records; partial sums."""
+    counts: dict[int, Counter] = {}
 
     def partial() -> pd.DataFrame:
-        kinds, words, nth = zip(*counts) if counts else ((), (), ())
-        return pd.DataFrame({"kind_id": pd.Series(kinds, dtype="int32"), "word": pd.Series(words, dtype=object), "nth": pd.Series(nth, dtype="int32"), "n": pd.Series(list(counts.values()), dtype="int64")})
+        rows = [(kind, word, n, records) for kind, found in counts.items() for (word, n), records in found.items()]
+        return pd.DataFrame(rows, columns=["kind_id", "word", "n", "records"])
 
     for batch in batches:
         for kind, text in zip(batch["kind_id"].tolist(), batch["text"]):
             if words := Counter(words_in(text)):
-                counts.update((kind, w, i) for w, n in words.items() for i in range(n))
-                counts[kind, None, 0] += 1
-            if len(counts) > CACHE_WORDS:
-                yield partial()
-                counts.clear()
+                found = counts.setdefault(kind, Counter())
+                found.update(words.items())
+                found[None, 0] += 1
+                if len(found) > CACHE_WORDS:
+                    yield partial()
+                    counts.clear()
     yield partial()
 
 
 def common_items(named: DataFrame) -> dict[int, np.ndarray]:
     """By kind, the items in more than COMMON of its records: at most 1 / COMMON times the mean number of words of a record."""
-    counts = named.select("kind_id", "text").mapInPandas(_records_of_items, "kind_id int, word string, nth int, n long")
-    counts = cut_lineage(counts.groupBy("kind_id", "word", "nth").agg(F.sum("n").alias("n")))
-    sizes = counts.where("word is null").select("kind_id", F.col("n").alias("size"))
-    rows = counts.where("word is not null").join(sizes, "kind_id").where(F.col("n") > COMMON * F.col("size")).select("kind_id", "word", "nth").toPandas()
+    counts = named.select("kind_id", "text").mapInPandas(_occurrences, "kind_id int, word string, n int, records long")
+    counts = cut_lineage(counts.groupBy("kind_id", "word", "n").agg(F.sum("records").alias("records")))
+    sizes = counts.where("word is null").select("kind_id", F.col("records").alias("size"))
+    # A word that occurs n times makes n items.
+    items = counts.where("word is not null").select("kind_id", "word", "records", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("nth"))
+    items = items.groupBy("kind_id", "word", "nth").agg(F.sum("records").alias("records"))
+    rows = items.join(sizes, "kind_id").where(F.col("records") > COMMON * F.col("size")).select("kind_id", "word", "nth").toPandas()
     release(counts)
-    hashes = lambda g: _item(pd.util.hash_array(g["word"].to_numpy(object), categorize=False), g["nth"].to_numpy())
-    return {int(k): np.sort(hashes(g)) for k, g in rows.groupby("kind_id")}
+    known = _Hashes()
+    items = lambda g: _item(np.array([known[w] for w in g["word"]], np.uint64), g["nth"].to_numpy())
+    return {int(k): np.sort(items(g)) for k, g in rows.groupby("kind_id")}
 
 
 def _sketch(common: dict[int, np.ndarray]):
     none = np.empty(0, np.uint64)
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+        known = _Hashes()
         for batch in batches:
             rows = []
             for kind, key, text_id, kind_id, text in batch.itertuples(index=False, name=None):
@@ -163,10 +195,12 @@ def _sketch(common: dict[int, np.ndarray]):
                     continue
                 hashes = _word_hashes(words, known)
                 items = items_of(hashes)
-                rare = ~np.isin(items, common.get(kind_id, none))
+                frequent = common.get(kind_id, none)
+                at = np.searchsorted(frequent, items)
+                rare = frequent[np.minimum(at, len(frequent) - 1)] != items if len(frequent) else np.ones(len(items), bool)
                 name = _mixed(items.sum(keepdims=True) + np.array([kind_id & 0xFFFFFFFF], np.uint64) * _P + np.uint64(len(words)))
                 of_rare = signature(items[rare]).tobytes() if rare.any() else b""
-                rows.append((kind, key, text_id, int(name.view(np.int64)[0]), len(words), bool(rare.mean() < FEW_RARE), of_rare, signature(items).tobytes()))
+                rows.append((kind, key, text_id, int(name.view(np.int64)[0]), len(words), bool(np.count_nonzero(rare) < FEW_RARE * len(rare)), of_rare, signature(items).tobytes()))
             yield pd.DataFrame(rows, columns=["kind", "key", "text_id", "class_id", "n", "few_rare", "rare_sig", "sig"])
 
     return sketch
@@ -191,18 +225,21 @@ def _bands(rare_bands: int, all_bands: int):
         family.append((picks, rng.integers(1, 2**63, rows, dtype=np.uint64) | np.uint64(1), rng.integers(1, 2**63, n_bands, dtype=np.uint64)))
     mask = np.uint64(2**BAND_BITS - 1)
 
-    def of(sig: bytes, kind: int, which: int) -> np.ndarray:
+    def of(sigs: pd.Series, kinds: np.ndarray, which: int) -> np.ndarray:
         picks, mix, number = family[which]
-        own = (np.frombuffer(sig, np.uint8).astype(np.uint64)[picks] * mix).sum(axis=1) + number + np.uint64(kind & 0xFFFFFFFF)
+        bytes_ = np.frombuffer(b"".join(map(bytes, sigs)), np.uint8).reshape(-1, HASHES)
+        own = number + kinds[:, None]
+        for k in range(picks.shape[1]):
+            own = own + bytes_[:, picks[:, k]] * mix[k]
         return (_mixed(_mixed(own)) & mask).view(np.int64)
 
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
-            for few, rare_sig, sig, kind in zip(batch["few_rare"], batch["rare_sig"], batch["sig"], batch["kind_id"].tolist()):
-                mine = [of(rare_sig, kind, 0)] if rare_sig else []
-                found.append(np.concatenate([*mine, of(sig, kind, 1)]) if few else mine[0])
-            yield pd.DataFrame({"id": batch["id"], "n": batch["n"], "bands": found})
+            kinds = batch["kind_id"].to_numpy().astype(np.uint32).astype(np.uint64)
+            for which, held in ((0, batch["rare_sig"].str.len().to_numpy() > 0), (1, batch["few_rare"].to_numpy(bool))):
+                part = batch[held]
+                if len(part):
+                    yield pd.DataFrame({"id": part["id"], "n": part["n"], "bands": list(of(part["sig" if which else "rare_sig"], kinds[held], which))})
 
     return bands
 
@@ -253,7 +290,7 @@ def class_links(records: DataFrame, sketches: DataFrame, least: float = LEAST, *
     side = lambda k: rows.select("band", F.col("id").alias(k), F.col("n").alias(f"n_{k}"))
     may_reach = 2 * F.least("n_a", "n_b") >= least * (F.col("n_a") + F.col("n_b")) - 1e-9
     # Partitioned by one side only: the next join needs no further exchange.
-    pairs = cut_lineage(side("a").join(side("b"), "band").where((F.col("a") < F.col("b")) & may_reach).select("a", "b").repartition("a").dropDuplicates(["a", "b"]))
+    pairs = cut_lineage(side("a").join(side("b").hint("shuffle_hash"), "band").where((F.col("a") < F.col("b")) & may_reach).select("a", "b").repartition("a").dropDuplicates(["a", "b"]))
     bits = classes.select("id", "sig").mapInPandas(_low_bits, "id long, " + ", ".join(f"w{k} long" for k in range(HASHES // 64)))
     side = lambda k: bits.select(F.col("id").alias(k), *[F.col(f"w{i}").alias(f"w{i}_{k}") for i in range(HASHES // 64)])
     differ = sum((F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(HASHES // 64)), F.lit(0))

@@ -128,7 +128,7 @@ def test_repeated_lines_agree_with_brute_force(spark):
     df = spark.createDataFrame(pages, "doc_id string, page int, text string")
     sources = spark.createDataFrame([(f"d{d}", "s") for d in range(30)], "doc_id string, source string")
     lines = repeated_lines.identified_lines(df, sources)
-    got = {tuple(r) for r in repeated_lines.repeated_lines(lines, repeated_lines.repeated_blocks(lines)).select("doc_id", "page", "line_no").collect()}
+    got = {tuple(r) for r in repeated_lines.repeated_lines(lines).select("doc_id", "page", "line_no").collect()}
     want = {(d, p, i) for d, p, t in pages if t for i, x in enumerate(t.split("\n"), 1) if x == "Legal  NOTICE."}
     assert got == want
 
