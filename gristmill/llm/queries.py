@@ -58,22 +58,31 @@ def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lines_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = inputs.doc_facts(spark, sf_dir).select("doc_id", F.col("doc_type").alias("source"))
-    return repeated_lines.identified_lines(table(spark, sf_dir, "pages"), small_side(sources))
+    return cut_lineage(repeated_lines.identified_lines(table(spark, sf_dir, "pages"), small_side(sources)))
+
+
+def _lines_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = F.nullif(F.lower(F.trim("series")), F.lit(""))
+    sources = table(spark, sf_dir, "chunks").groupBy("doc_id").agg(F.max(series).alias("source"))
+    return cut_lineage(repeated_lines.identified_lines(table(spark, sf_dir, "pages"), small_side(sources)))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines_by_type(spark, sf_dir)
-    return repeated_lines.repeated_lines(lines, cut_lineage(repeated_lines.repeated_blocks(lines)))
+    return repeated_lines.repeated_lines(_lines_by_type(spark, sf_dir))
+
+
+def p5_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same within one series; documents without one share a source."""
+    return repeated_lines.repeated_lines(_lines_by_series(spark, sf_dir))
 
 
 def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place of a repeated block of any number of lines."""
-    return repeated_lines.longest_blocks(cut_lineage(_lines_by_type(spark, sf_dir)))
+    return repeated_lines.longest_blocks(_lines_by_type(spark, sf_dir)).drop("source")
 
 
 def p5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = inputs.doc_facts(spark, sf_dir).select("doc_id", F.col("doc_type").alias("source"))
-    return repeated_lines.without_repeated_lines(table(spark, sf_dir, "pages"), small_side(sources))
+    return repeated_lines.without_repeated_lines(table(spark, sf_dir, "pages"), _lines_by_type(spark, sf_dir))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,17 +108,29 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p4_found, p4_text, p5_found, p5_blocks, p5_pages, p6_found, p6_items, p7_selection, p7_shares, p8_found)}
-ORACLE_SQL: dict[str, str] = {
-    "p5_found": r"""
-        WITH t AS (SELECT doc_id, coalesce(max(doc_type), '') AS doc_type FROM docs GROUP BY doc_id),
-        p AS (SELECT DISTINCT doc_id, page, string_split(text, chr(10)) AS ls FROM pages),
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p4_found, p4_text, p5_found, p5_series, p5_blocks, p5_pages, p6_found, p6_items, p7_selection, p7_shares, p8_found)}
+_KEYED = r"""p AS (SELECT DISTINCT doc_id, page, string_split(text, chr(10)) AS ls FROM pages),
         l AS (SELECT doc_id, page, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM p),
-        k AS (SELECT l.doc_id, page, line_no, coalesce(doc_type, '') AS doc_type,
+        k AS (SELECT l.doc_id, page, CAST(line_no AS INT) AS line_no, coalesce(source, '') AS source,
                      regexp_replace(lower(line), '[^\p{L}\p{N}]+', '', 'g') AS k
               FROM l LEFT JOIN t ON l.doc_id = t.doc_id),
-        n AS (SELECT doc_type, count(DISTINCT doc_id) AS n FROM k GROUP BY doc_type),
-        r AS (SELECT k.doc_type, k FROM k JOIN n ON k.doc_type = n.doc_type WHERE k <> ''
-              GROUP BY k.doc_type, k, n.n HAVING count(DISTINCT doc_id) >= greatest(5, 0.2 * n.n))
-        SELECT doc_id, page, CAST(line_no AS INT) AS line_no FROM k SEMI JOIN r ON k.doc_type = r.doc_type AND k.k = r.k""",
+        n AS (SELECT source, count(DISTINCT doc_id) AS n FROM k GROUP BY source)"""
+_BY_TYPE = "t AS (SELECT doc_id, max(doc_type) AS source FROM docs GROUP BY doc_id)"
+_BY_SERIES = "t AS (SELECT doc_id, max(nullif(lower(trim(series)), '')) AS source FROM chunks GROUP BY doc_id)"
+_LINES = """, r AS (SELECT k.source, k FROM k JOIN n ON k.source = n.source WHERE k <> ''
+              GROUP BY k.source, k, n.n HAVING count(DISTINCT doc_id) >= greatest(5, 0.2 * n.n))
+        SELECT doc_id, page, line_no FROM k SEMI JOIN r ON k.source = r.source AND k.k = r.k"""
+ORACLE_SQL: dict[str, str] = {
+    "p5_found": f"WITH {_BY_TYPE}, {_KEYED}{_LINES}",
+    "p5_series": f"WITH {_BY_SERIES}, {_KEYED}{_LINES}",
+    # Every block of every length of every page, the longest repeated one at each line, none that an earlier one reaches over.
+    "p5_blocks": f"""WITH {_BY_TYPE}, {_KEYED},
+        g AS (SELECT source, doc_id, page, list(k ORDER BY line_no) AS ks, list(line_no ORDER BY line_no) AS nos FROM k WHERE k <> '' GROUP BY ALL),
+        s AS (SELECT *, unnest(range(1, len(ks) + 1)) AS i FROM g), b AS (SELECT *, unnest(range(1, len(ks) - i + 2)) AS m FROM s),
+        h AS (SELECT source, doc_id, page, i, m, nos, md5(array_to_string(ks[i : i + m - 1], chr(1))) AS h FROM b),
+        r AS (SELECT h.source, m, h, count(DISTINCT doc_id) AS n_docs FROM h JOIN n ON h.source = n.source GROUP BY h.source, m, h, n.n
+              HAVING count(DISTINCT doc_id) >= greatest(5, 0.2 * n.n)),
+        o AS (SELECT h.*, n_docs FROM h JOIN r ON h.source = r.source AND h.m = r.m AND h.h = r.h QUALIFY row_number() OVER (PARTITION BY doc_id, page, i ORDER BY h.m DESC) = 1),
+        z AS (SELECT *, lag(i + m) OVER (PARTITION BY doc_id, page ORDER BY i) AS reached FROM o)
+        SELECT doc_id, page, nos[i] AS first_line, nos[i + m - 1] AS last_line, CAST(m AS INT) AS n_lines, n_docs FROM z WHERE reached IS NULL OR reached < i + m""",
 }

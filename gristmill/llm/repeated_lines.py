@@ -1,29 +1,21 @@
-"""Lines and multi-line blocks repeated across one source's documents.
-
-Every line becomes a 64-bit identifier of its letters and digits. The suffixes
-of all pages' identifier sequences, cut at DEPTH lines (a longer block is a
-chain of such suffixes), are sorted across the cluster by range partitioning,
-which is a suffix array over each source's concatenated lines: equal prefixes
-stand next to each other, and one source or line may span many partitions.
-Neighbouring suffixes' common prefixes give the blocks; a block that touches a
-partition's edge is counted from its document identifiers after the sort.
-Blocks of any length come by prefix doubling from there: longest_blocks.
+"""Multi-line blocks repeated across one source's documents.
+
+Every line becomes a 64-bit identifier of its letters and digits. The suffixes of
+all pages' identifier sequences are named by prefix doubling, which builds the
+suffix array of each source's concatenated lines without sorting it in one place:
+after k rounds two suffixes have one name if their first 2**k lines are equal, and
+a round is a join of names half a length apart and an aggregation over all rows.
+Suffixes whose common prefix stands in too few of the source's documents leave the
+rounds at once. The longest common prefixes that stand in enough documents are the
+blocks; the lines they cover are the repeated ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.session import cut_lineage
-
-DEPTH = 4
-SUFFIX = [f"s{k}" for k in range(1, DEPTH + 1)]
-BLOCK_SCHEMA = "source long, depth int, " + ", ".join(f"{s} long" for s in SUFFIX) + ", doc long, n_docs long"
+from gristmill.session import cut_lineage, release
 
 
 def line_key(line: Column) -> Column:
@@ -52,81 +44,8 @@ def identified_lines(pages: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def _blocks_of_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    parts = [b for b in batches if len(b)]
-    if not parts:
-        return
-    rows = pd.concat(parts, ignore_index=True)
-    source, doc = rows["source"].to_numpy(), rows["doc"].to_numpy()
-    cols = [rows[s].to_numpy() for s in SUFFIX]
-    n = len(rows)
-    new = np.ones(n, bool)
-    new[1:] = source[1:] != source[:-1]
-    alive = np.ones(n, bool)
-    for depth, col in enumerate(cols, 1):
-        new = new.copy()
-        new[1:] |= col[1:] != col[:-1]
-        alive &= col != 0  # the page ended before this line
-        interval = np.cumsum(new)
-        start = np.flatnonzero(new)
-        pairs = pd.DataFrame({"i": interval[alive], "doc": doc[alive]}).drop_duplicates()
-        if pairs.empty:
-            return
-        edge = pairs["i"].isin([1, interval[-1]])
-        counts = pairs.loc[~edge, "i"].value_counts(sort=False)
-        counts = counts[counts > 1]
-        for at, docs, n_docs in (
-            (counts.index.to_numpy(), None, counts.to_numpy()),
-            (pairs.loc[edge, "i"].to_numpy(), pairs.loc[edge, "doc"].to_numpy(), None),
-        ):
-            if not len(at):
-                continue
-            first = start[at - 1]
-            out = {"source": source[first], "depth": np.full(len(at), depth, np.int32)}
-            for k, s in enumerate(SUFFIX, 1):
-                out[s] = cols[k - 1][first] if k <= depth else np.zeros(len(at), np.int64)
-            out["doc"] = pd.array(docs if docs is not None else [None] * len(at), dtype="Int64")
-            out["n_docs"] = pd.array(n_docs if n_docs is not None else [None] * len(at), dtype="Int64")
-            yield pd.DataFrame(out)
-
-
-def repeated_blocks(lines: DataFrame, share: float = 0.2, least: int = 5) -> DataFrame:
-    """source, depth, s1..s4, n_docs: blocks of up to DEPTH lines found in at least share of a source's documents, and at least `least`.
-
-    The result is small at any size: a source has at most 1/share times its mean
-    number of lines per document such lines. Repeated pages count once.
-    """
-    hashed = lines.select(F.xxhash64("source").alias("source"), F.xxhash64("doc_id").alias("doc"), F.transform("lines", lambda x: x["lid"]).alias("ids"))
-    ahead = lambda i, k: F.coalesce(F.get("ids", i + k), F.lit(0))
-    suffixes = hashed.select(
-        "source", "doc",
-        F.explode(F.transform("ids", lambda x, i: F.struct(x.alias("s1"), *[ahead(i, k).alias(f"s{k + 1}") for k in range(1, DEPTH)]))).alias("s"),
-    ).select("source", "doc", "s.*")
-    order = ["source", *SUFFIX, "doc"]
-    found = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_blocks_of_partition, BLOCK_SCHEMA)
-    counted = found.groupBy("source", "depth", *SUFFIX).agg(F.coalesce(F.max("n_docs"), F.count_distinct("doc")).alias("n_docs"))
-    sizes = hashed.select("source", "doc").distinct().groupBy("source").agg(F.count("*").alias("source_docs"))
-    return (
-        counted.join(F.broadcast(sizes), "source")
-        .where((F.col("n_docs") >= least) & (F.col("n_docs") >= F.col("source_docs") * share - 1e-9))
-        .select("source", "depth", *SUFFIX, "n_docs", "source_docs")
-    )
-
-
-def repeated_lines(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """doc_id, page, line_no of every line that belongs to a repeated block, each once.
-
-    Every line of a longer block is a block of depth 1 in at least as many
-    documents, so the blocks of depth 1 cover all of them.
-    """
-    ones = blocks.where("depth = 1").select(F.col("source").alias("source_key"), F.col("s1").alias("lid"))
-    each = lines.select("doc_id", "page", F.xxhash64("source").alias("source_key"), F.explode("lines").alias("l"))
-    each = each.select("doc_id", "page", "source_key", F.col("l.line_no").alias("line_no"), F.col("l.lid").alias("lid"))
-    return each.join(F.broadcast(ones), ["source_key", "lid"], "left_semi").select("doc_id", "page", "line_no").distinct()
-
-
 def longest_blocks(lines: DataFrame, share: float = 0.2, least: int = 5) -> DataFrame:
-    """doc_id, page, first_line, last_line, n_lines, n_docs: every place of a repeated block that can't be made longer there.
+    """source (hashed), doc_id, page, first_line, last_line, n_lines, n_docs: every place of a repeated block that can't be made longer there.
 
     A block's lines follow each other, lines without letters and digits left out,
     and the whole block stands in n_docs of the source's documents: at least share
@@ -138,11 +57,13 @@ def longest_blocks(lines: DataFrame, share: float = 0.2, least: int = 5) -> Data
     once = lines.dropDuplicates(["doc_id", "page"])
     sizes = once.groupBy(F.xxhash64("source").alias("source")).agg(F.count_distinct("doc_id").alias("source_docs"))
     at = ["doc_id", "page", "at"]
+    tables: list[DataFrame] = []
 
     def repeated(rows: DataFrame) -> DataFrame:
         counts = rows.groupBy("source", "key").agg(F.count_distinct("doc_id").alias("n_docs")).join(sizes, "source")
         kept = counts.where((F.col("n_docs") >= least) & (F.col("n_docs") >= F.col("source_docs") * share - 1e-9))
-        return cut_lineage(rows.join(kept.select("source", "key", "n_docs"), ["source", "key"]))
+        tables.append(cut_lineage(rows.join(kept.select("source", "key", "n_docs"), ["source", "key"])))
+        return tables[-1]
 
     each = once.select(F.xxhash64("source").alias("source"), "doc_id", "page", F.posexplode("lines").alias("at", "l"))
     each = each.select("source", *at, F.col("l.line_no").alias("line_no"), F.col("l.lid").alias("key"))
@@ -164,22 +85,29 @@ def longest_blocks(lines: DataFrame, share: float = 0.2, least: int = 5) -> Data
     block = lambda x, n: F.struct(x["at"].alias("at"), n.alias("n_lines"), F.xxhash64(n, F.slice("ids", x["at"] + 1, n)).alias("key"))
     tried = ids.join(bound, ["doc_id", "page"]).select("source", "doc_id", "page", F.explode(F.flatten(F.transform("starts", lambda x: F.transform(lengths(x), lambda n: block(x, n))))).alias("b"))
     found = repeated(tried.select("source", "doc_id", "page", "b.*"))
-    places = found.groupBy(*at).agg(F.max("n_lines").alias("n_lines"), F.max_by("n_docs", "n_lines").alias("n_docs"))
+    places = found.groupBy("source", *at).agg(F.max("n_lines").alias("n_lines"), F.max_by("n_docs", "n_lines").alias("n_docs"))
     before = Window.partitionBy("doc_id", "page").orderBy("at")
     end = F.col("at") + F.col("n_lines")
     whole = places.withColumn("reached", F.lag(end).over(before)).where(F.col("reached").isNull() | (F.col("reached") < end))
     last = numbers.select("doc_id", "page", F.col("at").alias("end"), F.col("line_no").alias("last_line"))
     named = whole.withColumn("end", end - 1).join(last, ["doc_id", "page", "end"]).join(numbers.select(*at, F.col("line_no").alias("first_line")), at)
-    return named.select("doc_id", "page", "first_line", "last_line", "n_lines", "n_docs")
-
-
-def without_repeated_lines(pages: DataFrame, sources: DataFrame, share: float = 0.2, least: int = 5) -> DataFrame:
-    """doc_id, page, text, n_removed: each page once, its repeated lines deleted, all else kept."""
-    lines = identified_lines(pages, sources)
-    ones = repeated_blocks(lines, share, least).where("depth = 1").groupBy("source").agg(F.collect_set("s1").alias("drop"))
-    whole = pages.select("doc_id", "page", "text").join(sources.select("doc_id", F.coalesce("source", F.lit("")).alias("source")), "doc_id", "left")
-    whole = whole.withColumn("source_key", F.xxhash64(F.coalesce("source", F.lit("")))).dropDuplicates(["doc_id", "page"])
-    joined = whole.join(F.broadcast(ones.withColumnRenamed("source", "source_key")), "source_key", "left")
-    all_lines = F.split("text", "\n")
-    kept = F.filter(all_lines, lambda x: (line_key(x) == "") | F.col("drop").isNull() | ~F.array_contains("drop", F.xxhash64(line_key(x))))
-    return joined.select("doc_id", "page", F.array_join(kept, "\n").alias("text"), (F.size(all_lines) - F.size(kept)).alias("n_removed"))
+    out = cut_lineage(named.select("source", "doc_id", "page", "first_line", "last_line", "n_lines", "n_docs"))
+    release(numbers, *tables)
+    return out
+
+
+def repeated_lines(lines: DataFrame, share: float = 0.2, least: int = 5) -> DataFrame:
+    """doc_id, page, line_no of every line that a repeated block covers, each once; a line repeated alone is a block of one line."""
+    blocks = longest_blocks(lines, share, least).groupBy("doc_id", "page").agg(F.collect_list(F.struct("first_line", "last_line")).alias("blocks"))
+    inside = lambda n: F.exists("blocks", lambda b: (b["first_line"] <= n) & (n <= b["last_line"]))
+    once = lines.dropDuplicates(["doc_id", "page"]).join(blocks, ["doc_id", "page"])
+    return once.select("doc_id", "page", F.explode(F.filter(F.transform("lines", lambda x: x["line_no"]), inside)).alias("line_no"))
+
+
+def without_repeated_lines(pages: DataFrame, lines: DataFrame, share: float = 0.2, least: int = 5) -> DataFrame:
+    """doc_id, page, text, n_removed: each page once, its repeated blocks deleted, all else kept; lines are those of pages."""
+    gone = repeated_lines(lines, share, least).groupBy("doc_id", "page").agg(F.collect_set("line_no").alias("gone"))
+    once = pages.select("doc_id", "page", "text").dropDuplicates(["doc_id", "page"]).join(gone, ["doc_id", "page"], "left")
+    whole = F.split("text", "\n")
+    kept = F.filter(whole, lambda x, i: F.col("gone").isNull() | ~F.array_contains("gone", i + 1))
+    return once.select("doc_id", "page", F.array_join(kept, "\n").alias("text"), (F.size(whole) - F.size(kept)).alias("n_removed"))

@@ -1,22 +1,29 @@
 """Sentence ends in texts of mixed languages and scripts.
 
-A blank line ends a sentence. Inside a paragraph the candidate ends form a
-lattice whose edges are possible sentences: the cheapest path is taken. Edges
-that leave a quotation or parenthesis open cost most; a node's own cost comes
-from the word before the terminator and the opening word after it. In scripts
-written without spaces a dictionary word lattice cuts the text beside a gap into
-words, and the final and opening words decide whether the gap ends a sentence.
+A blank line ends a sentence. Inside a paragraph the terminators form a lattice
+whose edges are possible sentences, and the cheapest path is taken. No edge may
+leave a closed quotation or parenthesis open, however long; a node's own cost
+comes from the word before the terminator and the opening word after it. In
+scripts written without spaces a dictionary word lattice cuts the text beside a
+gap into words, and the final and opening words decide whether the gap ends a
+sentence. Abbreviations that are never a sentence's last word are learned from
+all documents: a word whose full stop is mostly followed by a small letter or a
+digit. As many documents as there are, at most MAX_LEARNED words can be learned.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.session import cut_lineage, release
+
 # Words that are followed by a name or number and so never end a sentence.
 LEADING_ABBREVIATIONS = frozenset(
     "dr prof mr mrs ms mme mlle sr sra dra st vs approx aprox no nos fig sec p pp art abs nr ca z b u a d h i e g "
@@ -42,16 +49,21 @@ THAI_WORDS = (
     "ทำไม จึง อ่อนแอ ผู้ว่าการ กล่าวว่า ยัง มี ความเสี่ยง"
 ).split()
 
-TERMINATOR = re.compile(rf"[.!?…।॥。！？]+(?:[   ]?»|[{CLOSERS}])*")
+ENDS = ".!?…।॥。！？｡။።؟۔។།"
+TERMINATOR = re.compile(rf"[{ENDS}]+(?:[   ]?»|[{CLOSERS}])*")
 BLANK_LINE = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
-THAI = re.compile(r"[฀-๿]")
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")  # Thai, Lao, Burmese, Khmer
 CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 LAST_WORD = re.compile(r"[^\s(\[“„«\"'’]+$")
 OPENING = re.compile(r"[\s“„«(\[¿¡\"'「『（《•\-–—]*(.)", re.S)
 FIRST_WORD = re.compile(r"\w+")
 LIST_NUMBER = re.compile(r"^\W*(?:\d{1,3}|[A-Za-z]|[ivxlc]{1,5})$")
 
-SPLIT_COST, OPEN_QUOTE_COST, REACH = 10.0, 25.0, 16
+HEADING_LABEL = re.compile(r"^\W*[^\W\d_]+ \d{1,3}(?:\.\d{1,3})*$")
+STOP = re.compile(r"(?<!\w)([^\W\d_]{1,12})\.(?=\s+[(\[«“„]?(\w))")
+
+SPLIT_COST = 10.0
+LEARNED_SHARE, LEARNED_LEAST, MAX_LEARNED = 0.6, 5, 100_000
 
 
 def words_by_lattice(text: str, words: frozenset[str], longest: int) -> list[str]:
@@ -76,27 +88,25 @@ _THAI_LONGEST = max(map(len, _THAI_ALL))
 _OPEN_ENDED, _CONTINUING = frozenset(THAI_OPEN_ENDED), frozenset(THAI_CONTINUING)
 
 
-def _thai_gap_ends(before: str, after: str) -> bool:
-    """Whether the gap between two unspaced runs ends a statement."""
-    if before[-1].isdigit() or after[0].isdigit():
-        return False
-    last = words_by_lattice(before[-24:], _THAI_ALL, _THAI_LONGEST)[-1]
-    first = words_by_lattice(after[:24], _THAI_ALL, _THAI_LONGEST)[0]
-    return last not in _OPEN_ENDED and first not in _CONTINUING
-
-
-def _thai_ends(text: str) -> list[int]:
+def _unspaced_ends(text: str) -> list[int]:
+    """Ends of statements in a script that marks them by gaps: the words beside a gap, taken from a lattice over whole runs, decide."""
     runs = list(re.finditer(r"\S+", text))
-    ends = [a.end() for a, b in zip(runs, runs[1:]) if _thai_gap_ends(a.group(), b.group()) or re.search(r"[.!?。！？]$", a.group()) and not b.group()[0].isdigit()]
+    words = [words_by_lattice(r.group(), _THAI_ALL, _THAI_LONGEST) for r in runs]
+    ends = []
+    for a, b, before, after in zip(runs, runs[1:], words, words[1:]):
+        digits = a.group()[-1].isdigit() or b.group()[0].isdigit()
+        marked = a.group()[-1] in ENDS and not b.group()[0].isdigit()
+        if marked or not digits and before[-1] not in _OPEN_ENDED and after[0] not in _CONTINUING:
+            ends.append(a.end())
     return ends + ([runs[-1].end()] if runs else [])
 
 
-def _node_cost(text: str, m: re.Match, end: int) -> float | None:
+def _node_cost(text: str, m: re.Match, end: int, learned: frozenset[str]) -> float | None:
     """Cost of ending a sentence at the terminator m; None where no sentence can end."""
     rest = text[end:]
     mark = m.group()[: end - m.start()]
-    closers = mark.lstrip(".!?…।॥。！？").strip()
-    cjk = mark[0] in "。！？" or mark[0] == "…" and bool(CJK.search(text[max(0, m.start() - 3) : end + 3]))
+    closers = mark.lstrip(ENDS).strip()
+    cjk = mark[0] in "。！？｡" or mark[0] == "…" and bool(CJK.search(text[max(0, m.start() - 3) : end + 3]))
     if not rest.strip():
         return 0.0
     spaced = rest[0].isspace()
@@ -112,7 +122,7 @@ def _node_cost(text: str, m: re.Match, end: int) -> float | None:
     nxt = rest.lstrip()[0]
     if nxt in ",;:—–-…" or first.islower():
         return None
-    if mark[0] in "।॥":
+    if mark[0] in "।॥။።؟۔។།":
         return 0.0
     if not spaced and not closers:
         # a missing space: only before a capital that follows a whole word or number
@@ -136,6 +146,8 @@ def _node_cost(text: str, m: re.Match, end: int) -> float | None:
         return None
     if low in TRAILING_ABBREVIATIONS:
         return 1.0
+    if low in learned:
+        return None
     if low in LEADING_ABBREVIATIONS and (low not in ("no", "a", "al") or word[0].isupper() or first.isdigit()):
         return None
     if low.isdigit() and len(low) <= 2 and follower.lower() in ORDINAL_FOLLOWERS:
@@ -143,56 +155,54 @@ def _node_cost(text: str, m: re.Match, end: int) -> float | None:
     return 0.0
 
 
-def _open_marks(text: str) -> int:
-    """Quotations and parentheses that text opens without closing, or closes without opening."""
-    stack, stray = [], 0
-    for c in text:
-        if stack and c == stack[-1]:
-            stack.pop()
-        elif c in PAIRS and not (c == "“" and "„" in text and stack and stack[-1] != "“"):
-            stack.append(PAIRS[c])
-        elif c in "”»)）」』》]":
-            stray += 1
-    return len(stack) + stray + text.count('"') % 2
+def _enclosed(text: str) -> tuple[list[int], list[int]]:
+    """Beginnings and ends of the outermost closed quotations and parentheses, in order; marks without a partner count for nothing."""
+    stack: list[tuple[str, int]] = []
+    spans: list[tuple[int, int]] = []
+    for i, c in enumerate(text):
+        if any(c == closer for closer, _ in reversed(stack)):
+            while stack:
+                closer, start = stack.pop()
+                if closer == c:
+                    spans.append((start, i))
+                    break
+        elif c == '"':
+            stack.append(('"', i))
+        elif c in PAIRS:
+            stack.append((PAIRS[c], i))
+    starts, stops = [], []
+    for a, b in sorted(spans):
+        if not stops or a > stops[-1]:
+            starts.append(a)
+            stops.append(b)
+    return starts, stops
 
 
-def _paragraph_ends(text: str) -> list[int]:
-    nodes, costs = [0], [0.0]
+def _paragraph_ends(text: str, learned: frozenset[str]) -> list[int]:
+    last = len(text.rstrip())
+    starts, stops = _enclosed(text) if any(c in text for c in "“„«(（「『《[\"") else ([], [])
+    heading = "\n" not in text and len(text) < 120 and text[last - 1] not in ENDS + CLOSERS
+    ends = []
     for m in TERMINATOR.finditer(text):
         end = m.end()
         if "“" in m.group() and "„" not in text:  # it opens the next sentence
             end = m.start() + m.group().index("“")
         elif re.search(r"\s»$", m.group()) is None and m.group()[-1] in "\"'" and text[end : end + 1].isalnum():
             end = m.start() + len(m.group().rstrip("\"'"))
-        cost = _node_cost(text, m, end)
-        if cost is not None:
-            nodes.append(end)
-            costs.append(cost)
-    last = len(text.rstrip())
-    if nodes[-1] != last:
-        nodes.append(last)
-        costs.append(0.0)
-    if len(nodes) == 2:
-        return [last]
-    marked = any(c in text for c in "“„«(（「『《[\"")
-    n = len(nodes)
-    best, back = [0.0] + [1e18] * (n - 1), [0] * n
-    for j in range(1, n):
-        for i in range(j - 1, max(-1, j - REACH - 1), -1):
-            skipped = sum(max(0.0, SPLIT_COST - costs[k]) for k in range(i + 1, j))
-            unbalanced = OPEN_QUOTE_COST * _open_marks(text[nodes[i] : nodes[j]]) if marked else 0.0
-            total = best[i] + skipped + unbalanced + costs[j]
-            if total < best[j]:
-                best[j], back[j] = total, i
-    ends, j = [], n - 1
-    while j:
-        ends.append(nodes[j])
-        j = back[j]
-    return ends[::-1]
+        at = bisect_right(starts, m.start()) - 1
+        if at >= 0 and stops[at] >= end:
+            continue  # the path can't leave a quotation open
+        if heading and HEADING_LABEL.match(text[: m.start()]):
+            continue
+        cost = _node_cost(text, m, end, learned)
+        # Nodes are passed one by one: ending here costs cost, going on SPLIT_COST less cost.
+        if cost is not None and cost < SPLIT_COST - cost:
+            ends.append(end)
+    return ends if ends and ends[-1] == last else [*ends, last]
 
 
-def sentence_ends(text: str | None) -> list[int]:
-    """End offsets (code points) of text's sentences in order; empty for null or blank text."""
+def sentence_ends(text: str | None, learned: frozenset[str] = frozenset()) -> list[int]:
+    """End offsets (code points) of text's sentences in order; empty for null or blank text. learned: abbreviations that end no sentence."""
     if not text or not text.strip():
         return []
     ends: list[int] = []
@@ -202,14 +212,50 @@ def sentence_ends(text: str | None) -> list[int]:
         if part.strip():
             lead = len(part) - len(part.lstrip())
             body = part.strip()
-            ends += [start + lead + e for e in (_thai_ends(body) if len(THAI.findall(body)) * 2 > len(body) else _paragraph_ends(body))]
+            ends += [start + lead + e for e in (_unspaced_ends(body) if len(UNSPACED.findall(body)) * 2 > len(body) else _paragraph_ends(body, learned))]
         start = m.end() if m else len(text)
     return ends
 
 
-def _ends_of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.DataFrame({"doc_id": b["doc_id"], "ends": [sentence_ends(t) for t in b["text"]]})
+def _full_stops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Partial counts of words with a full stop, and of those followed by a small letter or a digit."""
+    seen: Counter = Counter()
+    inside: Counter = Counter()
+
+    def partial() -> pd.DataFrame:
+        return pd.DataFrame({"word": pd.Series(list(seen), dtype=object), "n": pd.Series(list(seen.values()), dtype="int64"), "inside": pd.Series([inside[w] for w in seen], dtype="int64")})
+
+    for batch in batches:
+        for text in batch["text"]:
+            for word, following in STOP.findall(text or ""):
+                seen[word.lower()] += 1
+                inside[word.lower()] += following.islower() or following.isdigit()
+        if len(seen) > 500_000:
+            yield partial()
+            seen.clear()
+            inside.clear()
+    yield partial()
+
+
+def learned_abbreviations(documents: DataFrame) -> frozenset[str]:
+    """Words whose full stop ends no sentence in at least LEARNED_SHARE of all their places, by counts over all documents.
+
+    A word counts from LEARNED_LEAST places and from 1 / MAX_LEARNED of all full stops on: so at most MAX_LEARNED words can be learned.
+    """
+    counts = documents.select("text").mapInPandas(_full_stops, "word string, n long, inside long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"))
+    counts = cut_lineage(counts)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.where((F.col("n") >= max(LEARNED_LEAST, total / MAX_LEARNED)) & (F.col("inside") >= LEARNED_SHARE * F.col("n"))).select("word").collect()
+    release(counts)
+    return frozenset(r.word for r in rows)
+
+
+def _ends_of_batches(learned: frozenset[str]):
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "ends": [sentence_ends(t, learned) for t in b["text"]]})
+
+    return ends
 
 
 def split_sentences(documents: DataFrame) -> DataFrame:
@@ -218,6 +264,6 @@ def split_sentences(documents: DataFrame) -> DataFrame:
     Null and blank texts have no sentences; of unequal texts under one doc_id the smallest counts.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    ends = documents.select("doc_id", "text").mapInPandas(_ends_of_batches, f"doc_id {kind}, ends array<int>")
+    ends = documents.select("doc_id", "text").mapInPandas(_ends_of_batches(learned_abbreviations(documents)), f"doc_id {kind}, ends array<int>")
     once = ends.groupBy("doc_id").agg(F.min("ends").alias("ends"))
     return once.select("doc_id", F.posexplode("ends").alias("at", "end_pos")).select("doc_id", (F.col("at") + 1).alias("sent_no"), "end_pos")
