@@ -41,7 +41,7 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.postings(_documents(spark, sf_dir))
+    found = retrieval.postings(_documents(spark, sf_dir)).where("term <> ''")
     return found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
@@ -78,11 +78,71 @@ def find_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.find_documents(_scores(spark, sf_dir), owner)
 
 
+def _passage_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Owners, BM25 scores and hashed-vector scores of all passages for the stated questions."""
+    known = passages(spark, sf_dir)
+    texts, asked = known.select(F.col("chunk_id").alias("id"), F.col("indexed").alias("text")), questions(spark, sf_dir)
+    return known.select(F.col("chunk_id").alias("id"), "doc_id"), retrieval.bm25(texts, asked), retrieval.hashed_scores(texts, asked)
+
+
+def passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text passages by fusion of both rankers' best, filtered by type and date before ranking; statistics stay global."""
+    _, lexical, semantic = _passage_lists(spark, sf_dir)
+    known = passages(spark, sf_dir)
+    kept = retrieval.filtered(known, kinds=["text"], doc_types=["speech", "meeting_minutes", "policy_statement", "staff_note"], date_from="2019", date_to="2025-06").select(F.col("chunk_id").alias("id"))
+    ranked = [retrieval.top(x.join(kept, "id", "left_semi"), retrieval.DEPTH) for x in (lexical, semantic)]
+    return retrieval.top(retrieval.fuse(*ranked), 8)
+
+
 def search_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two best passages of every document that shares a term with a question."""
-    known = _scores(spark, sf_dir).join(passages(spark, sf_dir).select(F.col("chunk_id").alias("id"), "doc_id"), "id")
-    order = Window.partitionBy("query_id", "doc_id").orderBy(F.col("score").desc(), "id")
-    return known.withColumn("nth", F.row_number().over(order)).where("nth <= 2").select("query_id", "doc_id", "id", "score", "nth")
+    owners, lexical, semantic = _passage_lists(spark, sf_dir)
+    return retrieval.per_document(lexical, semantic, owners)
+
+
+def related_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each question's 60 best passages, with their best passage."""
+    owners, lexical, semantic = _passage_lists(spark, sf_dir)
+    fused = retrieval.fuse(retrieval.top(lexical, retrieval.DEPTH), retrieval.top(semantic, retrieval.DEPTH))
+    return retrieval.related_documents(retrieval.top(fused, 60), owners)
+
+
+def bm25_stemmed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over stems without stop words."""
+    texts = passages(spark, sf_dir).select(F.col("chunk_id").alias("id"), F.col("indexed").alias("text"))
+    return retrieval.top(retrieval.bm25(texts, questions(spark, sf_dir), analysed=True), 10)
+
+
+def focus_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.focus(_documents(spark, sf_dir), "liquidity coverage and bank lending risks", 600).withColumnRenamed("at", "para_no")
+
+
+def table_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table cards for each question, with their catalog entry and document."""
+    cards = retrieval.filtered(passages(spark, sf_dir), kinds=["table"])
+    best = retrieval.top(_scores(spark, sf_dir).join(cards.select(F.col("chunk_id").alias("id")), "id", "left_semi"), 15)
+    about = cards.select(F.col("chunk_id").alias("id"), "doc_id", "title")
+    return best.join(about, "id").select("query_id", "rank", "id", "doc_id", "title", "score")
+
+
+def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three pages of every document, as a reader asks for them."""
+    return table(spark, sf_dir, "pages").where(F.col("page").between(1, 3)).groupBy("doc_id", "page").agg(F.max(F.length("text")).alias("n_chars"))
+
+
+def expand_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question's best passage with up to two passages before and one after it in its document."""
+    chunks = passages(spark, sf_dir).where("kind = 'text'").select("chunk_id", "doc_id", "position")
+    best = retrieval.top(_scores(spark, sf_dir).join(chunks.select(F.col("chunk_id").alias("id")), "id", "left_semi"), 1).select("query_id", F.col("id").alias("chunk_id"))
+    return best.join(retrieval.neighbours(chunks, chunks.join(best.select("chunk_id").distinct(), "chunk_id", "left_semi"), 2, 1), "chunk_id")
+
+
+def stale_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors whose document is missing or has no text any more, and documents without one, counted by state."""
+    docs = _documents(spark, sf_dir).select("id", F.col("text").isNotNull().alias("has_text"))
+    both = docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(True).alias("has_vector")).distinct(), "id", "full")
+    state = F.when(F.col("has_vector").isNull(), F.lit("no vector")).when(~F.coalesce("has_text", F.lit(False)), F.lit("stale")).otherwise(F.lit("known"))
+    return both.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
 def neighbours_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +185,8 @@ def embedding_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_counts, bm25_df, bm25_topk, bm25_filtered_topk, dense_topk, hybrid_search, diversified_search, find_documents, search_per_document,
+        tokenize_counts, bm25_df, bm25_topk, bm25_filtered_topk, dense_topk, hybrid_search, diversified_search, find_documents, passage_search, search_per_document, related_docs,
+        bm25_stemmed_topk, focus_passages, table_search, page_lookup, expand_context, stale_vectors,
         neighbours_window, list_documents, corpus_card, latest_card, outline, embedding_todo,
     )
 }
@@ -151,6 +212,12 @@ def _top(source: str, k: int) -> str:
 
 
 _DOT = "round(list_inner_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)"
+_HASHED = f"""vec AS (SELECT id, bucket, count(*)::DOUBLE AS w FROM (SELECT id, ('0x' || substr(md5(term), 1, 2))::INT % 64 AS bucket FROM (SELECT id, unnest({_TOKENS.format("text")}) AS term FROM corpus)) GROUP BY ALL),
+    qvec AS (SELECT query_id, bucket, count(*)::DOUBLE AS q FROM (SELECT query_id, ('0x' || substr(md5(term), 1, 2))::INT % 64 AS bucket FROM (SELECT query_id, unnest({_TOKENS.format("text")}) AS term FROM asked)) GROUP BY ALL),
+    hashed AS (SELECT qvec.query_id, vec.id, round(sum(w * q) / (max(norm) * max(q_norm)), 6) AS score FROM vec JOIN qvec USING (bucket)
+        JOIN (SELECT id, sqrt(sum(w * w)) AS norm FROM vec GROUP BY id) USING (id) JOIN (SELECT query_id, sqrt(sum(q * q)) AS q_norm FROM qvec GROUP BY query_id) USING (query_id) GROUP BY ALL)"""
+_FUSED = """f AS (SELECT query_id, id, round(coalesce(1.0::DOUBLE / (60 + l.rank), 0) + coalesce(1.0::DOUBLE / (60 + m.rank), 0), 9) AS score, l.rank AS bm25_rank, m.rank AS dense_rank
+              FROM lexical l FULL JOIN semantic m USING (query_id, id))"""
 _NTH = "row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, id)"
 
 ORACLE_SQL = {
@@ -173,8 +240,39 @@ ORACLE_SQL = {
     "find_documents": f"""WITH {_CHUNKS}, {_BM25}, h AS ({_top("scored", 40)}), o AS (SELECT query_id, id, score, doc_id FROM h JOIN passages ON id = chunk_id),
         b AS (SELECT * FROM o QUALIFY {_NTH} <= 3),
         d AS (SELECT query_id, doc_id AS id, round(sum(score), 6) AS score FROM b GROUP BY query_id, doc_id) {_top("d", 8)}""",
-    "search_per_document": f"""WITH {_CHUNKS}, {_BM25}, o AS (SELECT s.*, doc_id FROM scored s JOIN passages ON id = chunk_id)
+    "passage_search": f"""WITH {_CHUNKS}, {_BM25}, {_HASHED}, kept AS (SELECT chunk_id AS id FROM passages WHERE kind = 'text'
+            AND doc_type IN ('speech', 'meeting_minutes', 'policy_statement', 'staff_note') AND sort_date >= '2019-01-01' AND sort_date <= '2025-06-31'),
+        a AS (SELECT * FROM scored SEMI JOIN kept USING (id)), b AS (SELECT * FROM hashed SEMI JOIN kept USING (id)),
+        lexical AS ({_top("a", 100)}), semantic AS ({_top("b", 100)}), {_FUSED} {_top("f", 8)}""",
+    "search_per_document": f"""WITH {_CHUNKS}, {_BM25}, {_HASHED},
+        t AS (SELECT DISTINCT query_id, doc_id FROM scored JOIN passages ON id = chunk_id),
+        r AS (SELECT t.query_id, t.doc_id, chunk_id AS id, coalesce(s.score, 0) AS a, coalesce(h.score, 0) AS b FROM t JOIN passages p ON t.doc_id = p.doc_id
+              LEFT JOIN scored s ON s.query_id = t.query_id AND s.id = chunk_id LEFT JOIN hashed h ON h.query_id = t.query_id AND h.id = chunk_id),
+        k AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY a DESC, id) - 1 AS ra, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY b DESC, id) - 1 AS rb FROM r),
+        o AS (SELECT query_id, doc_id, id, round(1.0::DOUBLE / (60 + ra) + 1.0::DOUBLE / (60 + rb), 9) AS score FROM k)
         SELECT query_id, doc_id, id, score, {_NTH} AS nth FROM o QUALIFY nth <= 2""",
+    "related_docs": f"""WITH {_CHUNKS}, {_BM25}, {_HASHED}, lexical AS ({_top("scored", 100)}), semantic AS ({_top("hashed", 100)}), {_FUSED},
+        h AS ({_top("f", 60)}), d AS (SELECT query_id, doc_id, min((h.rank, id)) AS best, min(h.rank) AS first FROM h JOIN passages ON id = chunk_id GROUP BY query_id, doc_id)
+        SELECT query_id, doc_id, best[2] AS id, row_number() OVER (PARTITION BY query_id ORDER BY first) - 1 AS rank FROM d QUALIFY rank < 12""",
+    "table_search": f"""WITH {_CHUNKS}, {_BM25}, c AS (SELECT s.* FROM scored s JOIN passages ON id = chunk_id WHERE kind = 'table'), b AS ({_top("c", 15)})
+        SELECT query_id, rank, id, doc_id, title, score FROM b JOIN passages ON id = chunk_id""",
+    "page_lookup": "SELECT doc_id, page, max(len(text)) AS n_chars FROM pages WHERE page BETWEEN 1 AND 3 GROUP BY doc_id, page",
+    "expand_context": f"""WITH {_CHUNKS}, {_BM25}, c AS (SELECT s.* FROM scored s JOIN passages ON id = chunk_id WHERE kind = 'text'), b AS ({_top("c", 1)})
+        SELECT query_id, p.chunk_id, n.chunk_id AS near_id, n.position AS near_position FROM b JOIN passages p ON b.id = p.chunk_id
+        JOIN passages n ON n.doc_id = p.doc_id AND n.kind = 'text' AND n.position BETWEEN p.position - 2 AND p.position + 1""",
+    "stale_vectors": f"""WITH {_DOCUMENTS}, v AS (SELECT DISTINCT vec_id AS id FROM embeddings), b AS (SELECT c.text, v.id AS vec_id FROM corpus c FULL JOIN v ON c.id = v.id)
+        SELECT CASE WHEN vec_id IS NULL THEN 'no vector' WHEN text IS NULL THEN 'stale' ELSE 'known' END AS state, count(*) AS n FROM b GROUP BY 1""",
+    "focus_passages": rf"""WITH {_DOCUMENTS}, q AS (SELECT DISTINCT unnest({_TOKENS.format("'liquidity coverage and bank lending risks'")}) AS term),
+        s AS (SELECT id, string_split_regex(text, '\n\s*\n') AS ps FROM corpus), e AS (SELECT id, CAST(unnest(range(len(ps))) AS INT) AS para_no, unnest(ps) AS raw FROM s),
+        p AS (SELECT id, para_no, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS paragraph FROM e), g AS (SELECT *, {_TOKENS.format("paragraph")} AS ws FROM p WHERE len(paragraph) > 40),
+        z AS (SELECT *, count(*) OVER (PARTITION BY id) AS n, avg(len(ws)) OVER (PARTITION BY id) AS avgdl FROM g),
+        t AS (SELECT id, para_no, n, avgdl, dl, term, count(*) AS tf FROM (SELECT id, para_no, n, avgdl, len(ws) AS dl, unnest(ws) AS term FROM z) SEMI JOIN q USING (term) GROUP BY ALL),
+        w AS (SELECT *, count(*) OVER (PARTITION BY id, term) AS df FROM t),
+        c AS (SELECT id, para_no, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM w GROUP BY id, para_no),
+        r AS (SELECT g.id, g.para_no, paragraph, sum(len(paragraph)) OVER d AS used, row_number() OVER d AS place FROM g LEFT JOIN c ON g.id = c.id AND g.para_no = c.para_no
+              WINDOW d AS (PARTITION BY g.id ORDER BY coalesce(score, 0) DESC, g.para_no)),
+        k AS (SELECT * FROM r WHERE used <= 600 OR place = 1)
+        SELECT id, para_no, paragraph, coalesce(lag(para_no) OVER (PARTITION BY id ORDER BY para_no), -1) <> para_no - 1 AS gap FROM k""",
     "neighbours_window": f"""WITH {_PASSAGES}, t AS (SELECT * FROM passages WHERE kind = 'text')
         SELECT a.chunk_id, b.chunk_id AS near_id, b.position AS near_position FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.position BETWEEN a.position - 1 AND a.position + 1""",
     "list_documents": r"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY retrieved_at DESC NULLS LAST, title DESC NULLS LAST,
