@@ -1,30 +1,35 @@
-"""Releases of recurring tables whose schemas drift: changes, and one table per series.
+"""Releases of recurring tables whose schemas drift: changes, and one typed table per series.
 
 A release's schema is a tree: the table, its columns, and below each header level
-that level's values. Between neighbouring releases the cheapest edit script of
-adds, deletes and renames turns one tree into the next; children are unordered,
-so each node's children are matched by minimum-cost assignment. What a rename
-costs comes from the records: the share of common periods on which two fields
-hold the same number, counted by joins over all records. The scripts of a series,
-chained, give every release's projection onto the latest names.
+that level's values. The tree edit distance between neighbouring releases gives the
+cheapest script of adds, deletes, renames and moves: children are unordered, so the
+subtrees below two matched nodes are matched by minimum-cost assignment, from the
+leaves up, and what is deleted under one node and added under another of the same
+name is a move. What a rename costs comes from the records: the share of common
+periods on which two fields hold the same number, counted by joins over all
+records. The scripts of a series, chained, compile into every release's projection
+onto the latest names and types.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.session import cut_lineage
+
 RELEASE_DATE = r"_(\d{4}(?:q[1-4]|_\d{2}(?:_\d{2})?)?)(?=__|$)"
 NUMBER = r"^\s*[($]*\s*([-−]?\d[\d,]*(?:\.\d+)?|[-−]?\.\d+)"
 AGREEMENT = 0.5  # least share of common periods on which a renamed field's values are equal
 ADD = REMOVE = 1.0
-RENAME, CONTRADICTED, NEVER = 0.5, 1.2, 9.0
+RENAME, CONTRADICTED, MOVE, NEVER = 0.5, 1.2, 1.5, 1e6
 LEVEL = r"^h\d+$"
-FIELD = "struct<name:string,type:string>"
 
 
 def number_of(text: Column) -> Column:
@@ -93,20 +98,26 @@ def _cells(records: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
         "pair", "axis", F.concat_ws("\x1f", F.lower(F.coalesce(get("row_label"), F.lit(""))), F.concat_ws("\x1f", others)).alias("key"),
         F.concat(F.col("axis"), F.lit("="), level_at(F.col("axis"))).alias("name"), "text",
     )
-    cells = wide.unionByName(long).withColumn("number", number_of(F.col("text"))).where("number is not null and key is not null")
-    return cells.groupBy("pair", "axis", "key").agg(F.collect_set(F.struct("name", "number")).alias(side))
+    cells = wide.unionByName(long).withColumn("number", F.round(number_of(F.col("text")), 6)).where("number is not null and key is not null")
+    return cells.select("pair", "axis", "key", "name", "number").distinct()
 
 
 def evidence(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """pair, seen: (old, new, shared, equal) for every two fields of one axis that both hold a number for some period."""
+    """pair, seen: (old, new, shared, equal) for every two fields of one axis that hold the same number for some period, or have one name.
+
+    Only equal cells are joined, so two fields meet as often as they agree; the periods
+    they share are counted for those pairs alone.
+    """
     pairs = pairs.withColumn("shared_levels", F.array_intersect(F.transform("a.levels", lambda l: l["level"]), F.transform("b.levels", lambda l: l["level"])))
-    both = _cells(records, pairs, "a").join(_cells(records, pairs, "b"), ["pair", "axis", "key"])
-    two = both.select("pair", F.explode("a").alias("a"), "b").select("pair", "a", F.explode("b").alias("b"))
-    counts = two.groupBy("pair", F.col("a.name").alias("old"), F.col("b.name").alias("new")).agg(
-        F.count("*").alias("shared"), F.count_if(F.abs(F.col("a.number") - F.col("b.number")) <= 1e-6).alias("equal")
-    )
-    useful = counts.where((F.col("equal") > 0) | (F.col("old") == F.col("new")))
-    return useful.groupBy("pair").agg(F.collect_list(F.struct("old", "new", "shared", "equal")).alias("seen"))
+    a, b = (cut_lineage(_cells(records, pairs, side)) for side in "ab")
+    axis = ["pair", "axis"]
+    old, new = a.withColumnRenamed("name", "old"), b.withColumnRenamed("name", "new")
+    equal = old.join(new, [*axis, "key", "number"]).groupBy(*axis, "old", "new").agg(F.count_distinct("key").alias("equal"))
+    kept = a.select(*axis, F.col("name").alias("old")).distinct().join(b.select(*axis, F.col("name").alias("new")).distinct(), axis).where("old = new")
+    wanted = equal.select(*axis, "old", "new").unionByName(kept).distinct()
+    shared = wanted.join(old, [*axis, "old"]).join(new.select(*axis, "key", "new").distinct(), [*axis, "key", "new"]).groupBy(*axis, "old", "new").agg(F.count_distinct("key").alias("shared"))
+    counts = shared.join(equal, [*axis, "old", "new"], "left")
+    return counts.groupBy("pair").agg(F.collect_list(F.struct("old", "new", "shared", F.coalesce("equal", F.lit(0)).alias("equal"))).alias("seen"))
 
 
 def assignment(cost: np.ndarray) -> list[int]:
@@ -138,43 +149,102 @@ def assignment(cost: np.ndarray) -> list[int]:
     return out
 
 
-def edit_children(old: list[str], new: list[str], seen: dict[tuple[str, str], tuple[int, int]]) -> list[tuple[str, str]]:
-    """The cheapest script between two sets of sibling nodes: (old, new), '' for a node that isn't there."""
+@dataclass
+class Node:
+    """A node of a schema tree; path names it below its parent, for the values of a level 'level=value'."""
+
+    kind: str  # 'column', 'level' or 'value'
+    path: str
+    name: str
+    type: str = ""
+    parent: str = ""
+    children: list[Node] = field(default_factory=list)
+
+    def size(self) -> int:
+        return 1 + sum(c.size() for c in self.children)
+
+
+def schema_tree(release: dict) -> Node:
+    """The tree of a release (columns, levels)."""
+    root = Node("table", "", "")
+    root.children = [Node("column", n, n, t) for n, t in {c["name"]: c["type"] for c in release["columns"]}.items()]
+    for level in release["levels"]:
+        node = Node("level", level["level"], level["level"])
+        node.children = [Node("value", f"{level['level']}={v}", v, parent=level["level"]) for v in dict.fromkeys(level["values"]) if v is not None]
+        root.children.append(node)
+    return root
+
+
+def relabel_cost(a: Node, b: Node, seen: dict[tuple[str, str], tuple[int, int]]) -> float:
+    """Cost of a node's going on as another: nothing for the same name, RENAME where the records agree."""
+    if a.kind != b.kind:
+        return NEVER
+    shared, equal = seen.get((a.path, b.path), (0, 0))
+    share = equal / shared if shared else 0.0
+    if a.name == b.name:
+        return CONTRADICTED if shared >= 3 and share < 0.2 else 0.0
+    if shared >= 2 and equal >= 2 and share >= AGREEMENT:
+        return RENAME + (1 - share) / 10
+    return NEVER
+
+
+def match_forests(old: list[Node], new: list[Node], seen: dict[tuple[str, str], tuple[int, int]]) -> tuple[float, list[tuple[Node | None, Node | None]]]:
+    """Cost of the cheapest edit of one forest into another, and its mapping of nodes; None stands for an added or removed node."""
     n, m = len(old), len(new)
-    cost = np.full((n + m, n + m), NEVER)
+    if not n + m:
+        return 0.0, []
+    cost, below = np.full((n + m, n + m), NEVER), {}
     for i, a in enumerate(old):
         for j, b in enumerate(new):
-            shared, equal = seen.get((a, b), (0, 0))
-            share = equal / shared if shared else 0.0
-            if a == b:
-                cost[i, j] = CONTRADICTED if shared >= 3 and share < 0.2 else 0.0
-            elif shared >= 2 and equal >= 2 and share >= AGREEMENT:
-                cost[i, j] = RENAME + (1 - share) / 10
-        cost[i, m + i] = REMOVE
-    for j in range(m):
-        cost[n + j, j] = ADD
+            label = relabel_cost(a, b, seen)
+            if label < NEVER:
+                inner, pairs = match_forests(a.children, b.children, seen)
+                cost[i, j], below[i, j] = label + inner, pairs
+        cost[i, m + i] = REMOVE * a.size()
+    for j, b in enumerate(new):
+        cost[n + j, j] = ADD * b.size()
     cost[n:, m:] = 0.0
-    to = assignment(cost) if n + m else []
-    script = [(a, new[to[i]] if to[i] < m else "") for i, a in enumerate(old)]
-    return script + [("", b) for j, b in enumerate(new) if j not in to[:n]]
+    to = assignment(cost)
+    pairs: list[tuple[Node | None, Node | None]] = []
+    for i, a in enumerate(old):
+        if to[i] < m:
+            pairs += [(a, new[to[i]]), *below[i, to[i]]]
+        else:
+            pairs += [(x, None) for x in (a, *a.children)]
+    for j, b in enumerate(new):
+        if to.index(j) >= n:
+            pairs += [(None, x) for x in (b, *b.children)]
+    return float(sum(cost[i, to[i]] for i in range(n + m))), pairs
 
 
 def tree_script(a: dict, b: dict, seen: dict[tuple[str, str], tuple[int, int]]) -> list[tuple[str, str, str]]:
-    """(kind, old, new) of every node that changes between two schema trees; kind 'same' for those that stay."""
-    old = {c["name"]: c["type"] for c in a["columns"]}
-    new = {c["name"]: c["type"] for c in b["columns"]}
-    out = []
-    for x, y in edit_children(list(old), list(new), seen):
-        kind = "added" if not x else "removed" if not y else "renamed" if x != y else "same"
-        out.append((kind, x, y))
-        if x and y and old[x] != new[y]:
-            out.append(("retyped", x, y))
-    levels_a = {lv["level"]: lv["values"] for lv in a["levels"]}
-    levels_b = {lv["level"]: lv["values"] for lv in b["levels"]}
-    for level in sorted(levels_a.keys() & levels_b.keys()):
-        name = lambda values, level=level: list(dict.fromkeys(f"{level}={v}" for v in values if v is not None))
-        for x, y in edit_children(name(levels_a[level]), name(levels_b[level]), seen):
-            out.append(("added" if not x else "removed" if not y else "renamed" if x != y else "same", x, y))
+    """(kind, old, new) of every field of two schema trees: 'added', 'removed', 'renamed', 'moved', 'retyped', and 'same' for those that stay.
+
+    A move takes a field to another parent: a column becomes a level's value, or a
+    value another level's. Values of a level that only one release has are told only
+    where they moved.
+    """
+    _, pairs = match_forests(schema_tree(a).children, schema_tree(b).children, seen)
+    shared_levels = {x.name for x, y in pairs if x and y and x.kind == "level"}
+    gone = [x for x, y in pairs if not y and x.kind != "level"]
+    fresh = [y for x, y in pairs if not x and y.kind != "level"]
+    plain = lambda n: re.sub(r"[\W_]+", " ", n.name).strip()
+    out, moved = [], {}
+    for x in gone:  # MOVE is cheaper than ADD and REMOVE together, so every possible move is taken
+        y = next((y for y in fresh if id(y) not in moved and plain(x) == plain(y) and (x.kind, x.parent) != (y.kind, y.parent)), None)
+        if y is not None and MOVE < ADD + REMOVE:
+            moved[id(x)] = moved[id(y)] = True
+            out.append(("moved", x.path, y.path))
+    told = lambda x: x.kind == "column" or x.parent in shared_levels
+    for x, y in pairs:
+        if x and y and x.kind != "level":
+            out.append(("same" if x.name == y.name else "renamed", x.path, y.path))
+            if x.type != y.type:
+                out.append(("retyped", x.path, y.path))
+        elif x and not y and x.kind != "level" and id(x) not in moved and told(x):
+            out.append(("removed", x.path, ""))
+        elif y and not x and y.kind != "level" and id(y) not in moved and told(y):
+            out.append(("added", "", y.path))
     return out
 
 
@@ -197,14 +267,14 @@ def edit_scripts(catalog: DataFrame, docs: DataFrame, records: DataFrame) -> Dat
 
 
 def schema_changes(catalog: DataFrame, docs: DataFrame, records: DataFrame) -> DataFrame:
-    """table_from, table_to, change_kind, old_name, new_name: 'added', 'removed', 'renamed' and 'retyped' fields between neighbouring releases."""
+    """table_from, table_to, change_kind, old_name, new_name: 'added', 'removed', 'renamed', 'moved' and 'retyped' fields between neighbouring releases."""
     return edit_scripts(catalog, docs, records).where("change_kind <> 'same'").select("table_from", "table_to", "change_kind", "old_name", "new_name").distinct()
 
 
 def _projections_of_series(rows: pd.DataFrame) -> pd.DataFrame:
     """Chain one series' scripts backwards: each release's field gets the name it has in the last release that holds it."""
     nxt = dict(zip(rows["table_from"], rows["table_to"]))
-    kept = rows[(rows["old_name"] != "") & (rows["new_name"] != "") & (rows["change_kind"] != "retyped")]
+    kept = rows[rows["change_kind"].isin(["same", "renamed"])]
     step = {(t, o): n for t, o, n in zip(kept["table_from"], kept["old_name"], kept["new_name"])}
     fields = {(t, o) for t, o in zip(rows["table_from"], rows["old_name"]) if o} | {(t, n) for t, n in zip(rows["table_to"], rows["new_name"]) if n}
     out = []
@@ -217,21 +287,35 @@ def _projections_of_series(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def unified_series(catalog: DataFrame, docs: DataFrame, records: DataFrame) -> DataFrame:
-    """series, table, sort_date, row_no, fields: every record under the latest name of each of its fields.
+    """series, table, sort_date, row_no, fields (map of name to struct of type, number, text): every record under the latest name and type of each of its fields.
 
     A series with one release keeps its names. Header values of long tables are
     renamed like columns. A field whose latest name clashes with another of its
-    release keeps its own name.
+    release keeps its own name. A field's type is that of the last release that has it:
+    where it is 'number', numbers written as text are cast, and what is no number is null.
     """
-    found = releases(catalog, docs)
+    found = cut_lineage(releases(catalog, docs))
     maps = (
         edit_scripts(catalog, docs, records).groupBy("series").applyInPandas(_projections_of_series, "series string, table string, name string, unified_name string")
         .groupBy("table").agg(F.map_from_entries(F.collect_set(F.struct("name", "unified_name"))).alias("names"))
     )
-    rows = latest_records(records).join(found.select("series", "table", "sort_date"), "table").join(maps, "table", "left")
     to = lambda n: F.coalesce(F.element_at("names", n), n)
+    typed = found.join(maps, "table", "left").select("series", "table", "sort_date", "names", F.explode("columns").alias("c"))
+    types = typed.groupBy("series", to(F.col("c.name")).alias("name")).agg(F.max_by("c.type", F.struct(F.coalesce("sort_date", F.lit("")), F.col("table"))).alias("type"))
+    types = types.groupBy("series").agg(F.map_from_entries(F.collect_list(F.struct("name", "type"))).alias("types"))
+    plans = found.select("series", "table", "sort_date").join(maps, "table", "left").join(types, "series", "left")
+    rows = latest_records(records).join(plans, "table")
     values = F.transform_values("fields", lambda k, v: F.when(k.rlike(LEVEL) & v.isNotNull(), F.regexp_replace(to(F.concat(k, F.lit("="), F.lower(v))), r"^h\d+=", "")).otherwise(v))
     keys = F.map_keys("fields")
     renamed = F.transform(keys, to)
     safe = F.transform(keys, lambda k: F.when((F.size(F.filter(renamed, lambda r: r == to(k))) > 1) | ((to(k) != k) & F.array_contains(keys, to(k))), k).otherwise(to(k)))
-    return rows.select("series", "table", "sort_date", "row_no", F.map_from_arrays(safe, F.map_values(values)).alias("fields"))
+    named = rows.select("series", "table", "sort_date", "row_no", "types", F.map_from_arrays(safe, F.map_values(values)).alias("fields"))
+    kind = lambda k: F.coalesce(F.element_at("types", k), F.lit("text"))
+    cast = F.transform_values("fields", lambda k, v: F.struct(kind(k).alias("type"), F.when(kind(k) == "number", number_of(v)).alias("number"), v.alias("text")))
+    return named.select("series", "table", "sort_date", "row_no", cast.alias("fields"))
+
+
+def series_table(rows: DataFrame, series: str, columns: dict[str, str]) -> DataFrame:
+    """One series of unified_series as a table: table, sort_date, row_no and the named columns with their types."""
+    of = lambda n, t: F.element_at("fields", F.lit(n))["number" if t == "number" else "text"].alias(n)
+    return rows.where(F.col("series") == series).select("table", "sort_date", "row_no", *[of(n, t) for n, t in columns.items()])

@@ -39,9 +39,31 @@ def test_changes_follow_the_values(spark):
     assert got == {("removed", "rate", ""), ("added", "", "bank_rate"), ("removed", "old", ""), ("added", "", "fresh")}
 
 
-def test_unified_rows_use_the_latest_names(spark):
+def test_unified_rows_use_the_latest_names_and_types(spark):
     rows = {(r.table, r.row_no): r.fields for r in sd.unified_series(*tables(spark, 0.5)).collect()}
-    assert rows["t_2020", 1] == {"period": "p1", "bank_rate": "1.5", "old": "7"}
+    got = {k: (v["type"], v["number"], v["text"]) for k, v in rows["t_2020", 1].items()}
+    assert got == {"period": ("text", None, "p1"), "bank_rate": ("text", None, "1.5"), "old": ("number", 7.0, "7")}
+    table = sd.series_table(sd.unified_series(*tables(spark, 0.5)), "t_", {"bank_rate": "text", "old": "number"})
+    assert dict(table.dtypes)["old"] == "double" and {r.old for r in table.where("table = 't_2020'").collect()} == {float(7 * i) for i in range(6)}
+
+
+def test_a_column_that_becomes_a_level_moves():
+    a = {"columns": [{"name": "row_label", "type": "text"}, {"name": "new_loans", "type": "number"}], "levels": [{"level": "h1", "values": ["total"]}]}
+    b = {"columns": [{"name": "row_label", "type": "text"}], "levels": [{"level": "h1", "values": ["total", "new loans"]}]}
+    assert ("moved", "new_loans", "h1=new loans") in sd.tree_script(a, b, {})
+    assert ("moved", "h1=new loans", "new_loans") in sd.tree_script(b, a, {})
+    two = {"columns": [], "levels": [{"level": "h1", "values": ["a"]}, {"level": "h2", "values": ["x", "y"]}]}
+    other = {"columns": [], "levels": [{"level": "h1", "values": ["a", "y"]}, {"level": "h2", "values": ["x"]}]}
+    assert set(sd.tree_script(two, other, {})) == {("same", "h1=a", "h1=a"), ("same", "h2=x", "h2=x"), ("moved", "h2=y", "h1=y")}
+
+
+def test_distance_is_the_cheapest_script():
+    col = lambda n, t="number": {"name": n, "type": t}
+    a, b = {"columns": [col("x"), col("y"), col("z")], "levels": []}, {"columns": [col("y", "text"), col("w"), col("v")], "levels": []}
+    seen = {("x", "w"): (10, 9), ("x", "v"): (10, 6), ("z", "v"): (10, 7)}
+    cost, _ = sd.match_forests(sd.schema_tree(a).children, sd.schema_tree(b).children, seen)
+    assert abs(cost - (0.5 + 0.01 + 0.5 + 0.03)) < 1e-9
+    assert set(sd.tree_script(a, b, seen)) == {("renamed", "x", "w"), ("renamed", "z", "v"), ("same", "y", "y"), ("retyped", "y", "y")}
 
 
 def test_empty_tables(spark):
