@@ -3,12 +3,14 @@
 A page is a sequence of blocks, its lines. Every block becomes a vector of its
 place and shape (the tag path, as far as text keeps it) and of its hashed words;
 a bidirectional LSTM in numpy reads the whole sequence and labels each block as
-content or as the site's surroundings. It is trained on a bounded sample of
-pages that seed rules label: known phrases of site furniture open or end
-regions, and the short lines of a link list belong to its heading. Training
-leaves words out at random and reads phrases through their hashed words, so that
-the labeller goes by context where no phrase is known. Every page is labelled
-whole, in its own partition.
+content or as the site's surroundings. It is trained on a bounded sample of pages
+whose labels come from counts over all pages: lines that recur on documents of most
+types, and do not stand before paragraphs, are the site's; long sentences, table
+rows, the document's own title and lines that recur within few types are content;
+short lines between lines of the site belong to it. A few words that any web page
+uses for its controls help; what none of this decides is left out of the training
+and goes by context. Every page is labelled whole, in its own partition, whatever
+its length.
 """
 
 from __future__ import annotations
@@ -25,44 +27,68 @@ from pyspark.sql import functions as F
 TRAIN_PAGES = 1200  # bound of the labelled sample
 WORD_BUCKETS, SHAPES, HIDDEN = 192, 20, 24
 EPOCHS, BATCH, RATE, WORD_DROP = 5, 16, 0.006, 0.08
-WINDOW, OVERLAP = 400, 40  # a longer page is read in overlapping windows
+WINDOW, OVERLAP = 400, 40  # a longer page is trained on in overlapping windows
+BLOCK = 5000  # a longer page is labelled in blocks that hand on the network's state
+LEAST_DOCS = 5  # a line recurs from so many documents on
 WORD = re.compile(r"[^\W_]+")
 MARKS = re.compile(r"^[\s•›»·*⌕☰©>-]+|[\s›»]+$")
 
-# Seed phrases of the training labels: a line of site furniture, matched from its beginning in lower case.
-FURNITURE = re.compile(
-    r"(?:skip to main content|an official website|here is how you know|home(?:$| [>|])|about the system|news and events|monetary policy$|supervision$|payment systems$"
-    r"|economic research$|data$|consumers and communities|careers$|publications$|calendar$|search(?:$| by | this )|find a page|menu$|you are here:|our mission|decisions$"
-    r"|banks we oversee|statistics portal|learn$|media room|contact desk|northmere reserve system|share(?:$|:| this )|listen to this|print this|send this|cite this|get news on"
-    r"|tags:|topics:|filed under|was this page|last update|page modified|accessibility|contact us|disclaimer(?:$| \|)|website policies|freedom of information|back to top|follow the system"
-    r"|subscribe to|rss feeds|download the questionnaire|media inquiries:|letters are grouped|(?:your )?privacy(?: choices|:)|we use .*cookies|this site stores|optional cookies"
-    r"|let us [^.]*: o(?:ff|n)$|(?:cookie settings|data on your device)$|[^.]* cookies \(always on\)|manage (?:cookies|preferences)|learn more(?:$| \|)|accept(?:$| \|| all)|decline(?:$| \|)|close(?:$| \|)|i agree$|got it$|continue$|reject all|allow |no thanks|ok$)"
+# Words of web pages in general: controls, notices and link lists, matched from a line's beginning.
+CONTROL = re.compile(
+    r"(?:skip to |home(?:$| [>|/»])|menu$|search(?:$|\b.{0,30}$)|share\b|print (?:this|page)|listen to |e-?mail this|cite this|you are here|tags?:|topics?:|filed under|last updated?"
+    r"|page (?:last )?modified|was this page|back to top|accessibility|contact us|subscribe|sign up|follow us|rss\b|privacy|your privacy|terms of use|site ?map"
+    r"|related (?:content|information|links)|see also$|read (?:next|more)|more (?:on|from) |(?:most|popular) (?:read|now)|trending|you may also like|further reading|accept|decline|reject"
+    r"|allow |got it$|ok$|close$|continue$|no thanks|i agree|manage (?:cookies|preferences)|cookie settings|learn more)"
 )
-LIST_HEAD = re.compile(
-    r"(?:you may also like|in the spotlight|also on this site|related (?:information|content)|earlier releases|more on |further reading|popular now|others are reading|see also$|linked pages|editors. picks|read next"
-    r"|trending|top pages of|most read|highlights from |latest |more from )"
-)
-TITLE = re.compile(r"(?:(?:remarks on|proposal to) .*|.*: [\w-]+ evidence(?: \(.*\))?|.*\(\d{1,2} \w+ \d{4}\))$")
+NOTICE = re.compile(r"\bcookies?\b|\byour inbox\b|\bon your device\b")
+BULLET = re.compile(r"^\s*[•*·-]\s")
+STOP_END = re.compile(r"[.!?][\"'”’)]*$")
 SENTENCE_END = re.compile(r"[.!?:;][\"'”’)]*$")
+UNKNOWN = -1
 
 
 def plain(line: str) -> str:
     return MARKS.sub("", " ".join(line.split()).lower())
 
 
-def seed_labels(lines: list[str]) -> np.ndarray:
-    """1 for furniture, 0 for content, of one page's non-blank lines, by the seed phrases."""
-    flat = [plain(x) for x in lines]
-    out, in_list, first = np.zeros(len(flat), np.int8), 0, True
-    for i, text in enumerate(flat):
-        if FURNITURE.match(text):
-            out[i], in_list = 1, 0
-        elif LIST_HEAD.match(text) and not SENTENCE_END.search(text) and len(text) < 60 and not first:
-            out[i], in_list = 1, 6
-        elif in_list and TITLE.match(text) and len(text) < 120:
-            out[i], in_list = 1, in_list - 1
-        else:
-            in_list, first = 0, False
+def line_key(line: str) -> str:
+    """A line's letters in lower case: numbers, dates and marks may differ."""
+    return "".join(c for c in line.lower() if c.isalpha())
+
+
+def is_sentence(line: str) -> bool:
+    return bool(STOP_END.search(line.strip())) and len(WORD.findall(line)) >= 12
+
+
+def seed_labels(lines: list[str], facts: dict[str, tuple[int, int, float]] | None = None, n_types: int = 1, title: str | None = None) -> np.ndarray:
+    """1 for the site's surroundings, 0 for content, UNKNOWN where neither is sure, of one page's non-blank lines.
+
+    facts: of a line's key the number of documents and of their types that have it, and
+    the share of its places right before a sentence.
+    """
+    n, facts, own = len(lines), facts or {}, line_key(title or "")
+    out, words = np.full(n, UNKNOWN, np.int8), [len(WORD.findall(x)) for x in lines]
+    for i, line in enumerate(lines):
+        key, flat = line_key(line), plain(line)
+        docs, types, before = facts.get(key, (1, 1, 0.0))
+        if CONTROL.match(flat) and len(flat) < 120 or NOTICE.search(flat) and len(flat) < 300:
+            out[i] = 1
+        elif "|" in line and any(c.isdigit() for c in line.rsplit("|", 1)[1]) or is_sentence(line) and docs <= 2 or own and key == own:
+            out[i] = 0
+        elif docs >= LEAST_DOCS and types * 2 >= n_types and before < 0.25 and not BULLET.match(line):
+            out[i] = 1
+        elif docs >= 3 and before >= 0.5 and words[i] <= 12 or docs >= LEAST_DOCS and types * 3 <= n_types and words[i] >= 3:
+            out[i] = 0
+    known = np.flatnonzero(out != UNKNOWN)
+    for a, b in zip([-1, *known.tolist()], [*known.tolist(), n]):
+        run = range(a + 1, b)
+        above, below = out[a] if a >= 0 else 1, out[b] if b < n else 1
+        if not run:
+            continue
+        if above == 1 and below == 1 and a >= 0 and all(words[i] <= 16 and not STOP_END.search(lines[i].strip()) for i in run):
+            out[a + 1 : b] = 1  # a list of links
+        elif above == 0 and (all(BULLET.match(lines[i]) for i in run) or below == 0 and len(run) == 1):
+            out[a + 1 : b] = 0
     return out
 
 
@@ -77,15 +103,17 @@ def _bucket(word: str) -> int:
     return b
 
 
-def block_vectors(lines: list[str], drop: float = 0.0, rng: np.random.Generator | None = None) -> np.ndarray:
-    """Vectors of one page's non-blank lines: SHAPES values of place and form, then hashed words of unit length."""
-    n = len(lines)
-    out = np.zeros((n, SHAPES + WORD_BUCKETS), np.float32)
-    for i, line in enumerate(lines):
+def block_vectors(lines: list[str], drop: float = 0.0, rng: np.random.Generator | None = None, part: slice = slice(None)) -> np.ndarray:
+    """Vectors of one page's non-blank lines, or a part of them: SHAPES values of place and form on the whole page, then hashed words of unit length."""
+    n, first = len(lines), part.indices(len(lines))[0]
+    lines = lines[part]
+    out = np.zeros((len(lines), SHAPES + WORD_BUCKETS), np.float32)
+    for j, line in enumerate(lines):
+        i = first + j
         words = WORD.findall(line.lower())
         stripped = line.strip()
         letters = sum(c.isalpha() for c in stripped) or 1
-        out[i, :SHAPES] = (
+        out[j, :SHAPES] = (
             1, min(i, 20) / 20, min(n - 1 - i, 20) / 20, i / n, min(len(words), 40) / 40, len(words) <= 3, 4 <= len(words) <= 12, len(words) > 25,
             bool(SENTENCE_END.search(stripped)), stripped.endswith("."), "|" in stripped, stripped.count("|") > 3, stripped[:1] in "•-*·", stripped[-1:] in "›»", ">" in stripped,
             sum(c.isupper() for c in stripped) / letters > 0.7, stripped[:1].isdigit(), sum(c.isdigit() for c in stripped) / max(1, len(stripped)), ":" in stripped, "(" in stripped,
@@ -93,11 +121,11 @@ def block_vectors(lines: list[str], drop: float = 0.0, rng: np.random.Generator
         if rng is not None and drop:
             words = [w for w, kept in zip(words, rng.random(len(words)) >= drop) if kept]
         if words:
-            for j, w in enumerate(words[:3]):
-                out[i, SHAPES + _bucket(f"{j}:{w}")] += 1  # the beginning, in order
+            for at, w in enumerate(words[:3]):
+                out[j, SHAPES + _bucket(f"{at}:{w}")] += 1  # the beginning, in order
             tail = [_bucket(w) for w in words]
-            np.add.at(out[i, SHAPES:], tail, 1)
-            out[i, SHAPES:] /= np.linalg.norm(out[i, SHAPES:])
+            np.add.at(out[j, SHAPES:], tail, 1)
+            out[j, SHAPES:] /= np.linalg.norm(out[j, SHAPES:])
     return out
 
 
@@ -115,10 +143,12 @@ class BiLSTM:
         self.w["o"] = (rng.normal(size=(2 * h, 1)) / np.sqrt(2 * h)).astype(np.float32)
         self.w["p"] = np.zeros(1, np.float32)
 
-    def _run(self, k: str, x: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
+    def _run(self, k: str, x: np.ndarray, mask: np.ndarray, keep: list | None, state: list | None = None) -> np.ndarray:
+        """Outputs in direction k; state (cell and output) is read at the beginning and written at the end."""
         steps, size, h = x.shape[0], x.shape[1], HIDDEN
         into = x @ self.w[f"x{k}"] + self.w[f"c{k}"]
-        out, c, y = np.zeros((steps, size, h), np.float32), np.zeros((size, h), np.float32), np.zeros((size, h), np.float32)
+        out = np.zeros((steps, size, h), np.float32)
+        c, y = state if state else (np.zeros((size, h), np.float32), np.zeros((size, h), np.float32))
         for t in range(steps) if k == "f" else range(steps - 1, -1, -1):
             z = into[t] + y @ self.w[f"h{k}"]
             gates = 1 / (1 + np.exp(-np.clip(z[:, : 3 * h], -30, 30)))
@@ -132,6 +162,8 @@ class BiLSTM:
                 keep.append((t, i, f, o, g, c, th, y, m))
             c, y = c_new, y_new
             out[t] = y
+        if state is not None:
+            state[:] = c, y
         return out
 
     def scores(self, x: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
@@ -140,10 +172,25 @@ class BiLSTM:
             keep["both"] = both
         return (both @ self.w["o"])[:, :, 0] + self.w["p"]
 
+    def scores_in_blocks(self, lines: list[str], size: int) -> np.ndarray:
+        """The scores of one page of any length: each direction hands its state from block to block, so they are those of the whole page."""
+        both = []
+        for k in "fb":
+            state: list = []
+            starts = range(0, len(lines), size)
+            parts = {}
+            for a in starts if k == "f" else reversed(starts):
+                x = block_vectors(lines, part=slice(a, a + size))[:, None]
+                parts[a] = self._run(k, x, np.ones(x.shape[:2], np.float32), None, state)
+            both.append(np.concatenate([parts[a] for a in starts]))
+        return (np.concatenate(both, axis=2) @ self.w["o"])[:, 0, 0] + self.w["p"]
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the loss over all steps whose label is known (0 or 1)."""
         keep: dict = {}
         p = 1 / (1 + np.exp(-np.clip(self.scores(x, mask, keep), -30, 30)))
-        d = ((p - labels) * mask / mask.sum()).astype(np.float32)
+        told = mask * (labels >= 0)
+        d = ((p - labels) * told / max(1.0, told.sum())).astype(np.float32)
         grad = {"p": np.array([d.sum()], np.float32), "o": np.einsum("tbh,tb->h", keep["both"], d)[:, None]}
         d_both = d[:, :, None] * self.w["o"][:, 0]
         h = HIDDEN
@@ -205,20 +252,22 @@ def fit(pages: list[list[str]], labels: list[np.ndarray], epochs: int = EPOCHS,
 
 
 def label_pages(model: BiLSTM, pages: list[list[str]], size: int = 64) -> list[np.ndarray]:
-    """Whether each non-blank line of each page belongs to the surroundings; long pages are read in overlapping windows."""
+    """Whether each non-blank line of each page belongs to the surroundings; every page is read whole."""
     out = [np.zeros(len(p), bool) for p in pages]
-    pieces = [(i, a) for i, p in enumerate(pages) for a in windows(len(p))]
-    long = {i: block_vectors(p) for i, p in enumerate(pages) if len(p) > WINDOW}
-    pieces.sort(key=lambda s: min(len(pages[s[0]]) - s[1], WINDOW))
-    for j in range(0, len(pieces), size):
-        part = pieces[j : j + size]
-        x, mask = _padded([long[i][a : a + WINDOW] if i in long else block_vectors(pages[i]) for i, a in part])
+    order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
+    long = [i for i in order if len(pages[i]) > BLOCK]
+    for i in long:
+        out[i] = model.scores_in_blocks(pages[i], BLOCK) > 0
+    order, j = order[: len(order) - len(long)], 0
+    while j < len(order):
+        part = order[j : j + size]
+        while len(part) > 1 and len(part) * len(pages[part[-1]]) > size * WINDOW:  # long pages go in smaller batches
+            part = part[: len(part) // 2]
+        x, mask = _padded([block_vectors(pages[i]) for i in part])
         scores = model.scores(x, mask)
-        for col, (i, a) in enumerate(part):
-            n = len(pages[i][a : a + WINDOW])
-            skip = OVERLAP if a else 0
-            end = n - OVERLAP if a + n < len(pages[i]) else n  # each window writes its inner part only
-            out[i][a + skip : a + end] = scores[skip:end, col] > 0
+        for col, i in enumerate(part):
+            out[i] = scores[: len(pages[i]), col] > 0
+        j += len(part)
     return out
 
 
@@ -227,14 +276,55 @@ def _lines(text: str | None) -> tuple[list[int], list[str]]:
     return [i for i, _ in found], [x for _, x in found]
 
 
+def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for doc, kind, text in zip(batch["doc"], batch["doc_type"], batch["text"]):
+            lines = _lines(text)[1]
+            rows += [(line_key(x), doc, kind, bool(y and is_sentence(y))) for x, y in zip(lines, [*lines[1:], None])]
+        yield pd.DataFrame(rows, columns=["key", "doc", "doc_type", "before"])
+
+
+def line_facts(pages: DataFrame, keys: list[str]) -> tuple[dict[str, tuple[int, int, float]], int]:
+    """By key of a line the number of documents and of their types that have it and the share of its places before a sentence, counted over all pages; and the number of types."""
+    spark = pages.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(k,) for k in sorted(set(keys))], "key string"))  # of at most TRAIN_PAGES pages
+    held = pages.select(F.xxhash64("doc_id").alias("doc"), F.coalesce("doc_type", F.lit("")).alias("doc_type"), "text")
+    each = held.mapInPandas(_places, "key string, doc long, doc_type string, before boolean").join(wanted, "key", "left_semi")
+    by_doc = each.groupBy("key", "doc", "doc_type").agg(F.count("*").alias("n"), F.count_if("before").alias("before"))
+    counts = by_doc.groupBy("key").agg(F.count_distinct("doc").alias("docs"), F.count_distinct("doc_type").alias("types"), (F.sum("before") / F.sum("n")).alias("share"))
+    types = held.agg(F.count_distinct("doc_type")).first()[0]
+    return {r.key: (r.docs, r.types, r.share) for r in counts.collect()}, types
+
+
 def train(pages: DataFrame, most: int = TRAIN_PAGES, seed: int = 3) -> BiLSTM | None:
-    """Fit the labeller on at most `most` pages, those with the smallest seeded hash; None where no page has lines."""
-    drawn = pages.where(F.length("text") > 0).select("text", F.xxhash64("doc_id", "page", F.lit(seed)).alias("u"))
+    """Fit the labeller on at most `most` pages, those with the smallest seeded hash; None where no page has lines.
+
+    pages may name each document's doc_type and title.
+    """
+    for name in ("doc_type", "title"):
+        if name not in pages.columns:
+            pages = pages.withColumn(name, F.lit(None).cast("string"))
+    drawn = pages.where(F.length("text") > 0).select("text", "title", F.xxhash64("doc_id", "page", F.lit(seed)).alias("u"))
     # Hashes first: a sort of whole rows would send `most` texts of every partition to the driver.
     last = drawn.select("u").orderBy("u").limit(most).agg(F.max("u")).first()[0]
     rows = drawn.where(F.col("u") <= F.lit(last)).orderBy("u", "text").limit(most).collect() if last is not None else []
-    texts = [x for r in rows if (x := _lines(r.text)[1])]
-    return fit(texts, [seed_labels(x) for x in texts], seed=seed) if texts else None
+    sample = [(x, r.title) for r in rows if (x := _lines(r.text)[1])]
+    if not sample:
+        return None
+    facts, types = line_facts(pages, [line_key(x) for lines, _ in sample for x in lines])
+    return fit([x for x, _ in sample], [seed_labels(x, facts, types, title) for x, title in sample], seed=seed)
+
+
+_FITTED: dict[tuple, BiLSTM | None] = {}
+
+
+def fitted_once(pages: DataFrame, *name: str) -> BiLSTM | None:
+    """The model trained on pages, kept for this application under a name."""
+    key = (pages.sparkSession.sparkContext.applicationId, *name)
+    if key not in _FITTED:
+        _FITTED[key] = train(pages)
+    return _FITTED[key]
 
 
 def boilerplate_lines(pages: DataFrame, model: BiLSTM | None = None) -> DataFrame:
@@ -244,7 +334,7 @@ def boilerplate_lines(pages: DataFrame, model: BiLSTM | None = None) -> DataFram
     and empty texts have no lines; other columns are ignored.
     """
     once = pages.select("doc_id", "page", "text").where(F.col("text").isNotNull()).groupBy("doc_id", "page").agg(F.min("text").alias("text"))
-    model = model or train(once)
+    model = model or train(pages)
     kind = {f.name: f.dataType.simpleString() for f in once.schema}
     schema = f"doc_id {kind['doc_id']}, page {kind['page']}, line_no int"
     if model is None:
@@ -268,6 +358,6 @@ def boilerplate_lines(pages: DataFrame, model: BiLSTM | None = None) -> DataFram
 def main_content(pages: DataFrame, model: BiLSTM | None = None) -> DataFrame:
     """doc_id, page, text: each page's own lines, in order; a page without any keeps an empty text."""
     once = pages.select("doc_id", "page", "text").groupBy("doc_id", "page").agg(F.min("text").alias("text"))
-    gone = boilerplate_lines(once, model).groupBy("doc_id", "page").agg(F.collect_set("line_no").alias("gone"))
+    gone = boilerplate_lines(pages, model).groupBy("doc_id", "page").agg(F.collect_set("line_no").alias("gone"))
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: ~F.coalesce(F.array_contains("gone", (i + 1).cast("int")), F.lit(False)))
     return once.join(gone, ["doc_id", "page"], "left").select("doc_id", "page", F.array_join(lines, "\n").alias("text"))

@@ -44,16 +44,19 @@ def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).select("doc_id", "turn_no", "speaker", F.array_join("words", " ").alias("text"), F.size("words").alias("n_words"))
 
 
-def _web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.pages_of(spark, sf_dir, F.col("format") == "html", "text")
+def _web_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, main_content.BiLSTM | None]:
+    """The pages of html documents, and the labeller trained on a sample of them with each document's type and title."""
+    pages = inputs.pages_of(spark, sf_dir, F.col("format") == "html", "text")
+    facts = table(spark, sf_dir, "docs").groupBy("doc_id").agg(F.max("doc_type").alias("doc_type"), F.max("title").alias("title"))
+    return pages, main_content.fitted_once(pages.join(small_side(facts), "doc_id", "left"), "web pages", sf_dir)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_content.boilerplate_lines(_web_pages(spark, sf_dir))
+    return main_content.boilerplate_lines(*_web_pages(spark, sf_dir))
 
 
 def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_content.main_content(_web_pages(spark, sf_dir))
+    return main_content.main_content(*_web_pages(spark, sf_dir))
 
 
 def _lines_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:

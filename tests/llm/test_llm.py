@@ -74,27 +74,41 @@ def test_mix_reaches_shares_within_caps(spark):
     assert empty.count() == 0
 
 
-def web_page(rng):
-    own = [f"{rng.choice('ABC')}ctivity around {rng.choice(WORDS)} rose by {rng.randrange(9)} percent, and {rng.choice(WORDS)} fell in most districts." for _ in range(rng.randrange(3, 8))]
-    links = ["You may also like"] + [f"Remarks on {rng.choice(WORDS)} and {rng.choice(WORDS)}" for _ in range(3)]
-    return ["Skip to main content", "Home", "About the System", f"Remarks on {rng.choice(WORDS)}", *own, *links, "Contact us", "Website policies"]
+def web_page(rng, kind):
+    """Lines of a page of an invented site, and which of them are the site's."""
+    own = [f"{rng.choice('ABC')}ctivity around {rng.choice(WORDS)} rose by {rng.randrange(9)} percent in {rng.choice(WORDS)}, and {rng.choice(WORDS)} fell in most other districts." for _ in range(rng.randrange(3, 8))]
+    links = ["Picked for you"] + [f"Report on {rng.choice(WORDS)} and {rng.choice(WORDS)}" for _ in range(3)]
+    parts = [(["Skip to main content", "Fishing", "Boats and nets"], 1), ([f"Notes on {rng.choice(WORDS)} waters", *own, f"Remark of the {kind} desk alone"], 0), ([*links, "Harbour office", "House rules"], 1)]
+    return [x for lines, _ in parts for x in lines], np.concatenate([np.full(len(lines), y) for lines, y in parts])
 
 
-def test_labeller_learns_held_out_pages(spark):
+def test_labeller_learns_the_site_from_recurrence(spark):
     rng = random.Random(2)
-    pages = [web_page(rng) for _ in range(160)]
-    labels = [main_content.seed_labels(p) for p in pages]
-    model = main_content.fit(pages[:120], labels[:120], epochs=4)
-    found = main_content.label_pages(model, pages[120:])
-    right = np.concatenate([a == b for a, b in zip(found, labels[120:])])
+    made = [(f"d{i}", "abc"[i % 3], *web_page(rng, "abc"[i % 3])) for i in range(160)]
+    rows = [(d, 1, kind, "\n".join(lines)) for d, kind, lines, _ in made]
+    df = spark.createDataFrame(rows, "doc_id string, page int, doc_type string, text string")
+    model = main_content.train(df, 120)
+    found = main_content.label_pages(model, [lines for _, _, lines, _ in made])
+    right = np.concatenate([a == b for a, (_, _, _, b) in zip(found, made)])
     assert right.mean() > 0.97
-    long = [x for p in pages for x in p]
-    assert len(main_content.label_pages(model, [long, []])[0]) == len(long)
-    df = spark.createDataFrame([("d", 1, "\n".join(pages[130]) + "\n\n"), ("d", 1, "\n".join(pages[130]) + "\n\n"), ("d", 2, None), ("d", 3, "")], "doc_id string, page int, text string")
-    lines = main_content.boilerplate_lines(df, model)
-    assert lines.count() == lines.distinct().count() == found[10].sum()
-    kept = {r.page: r.text for r in main_content.main_content(df, model).collect()}
-    assert pages[130][4] in kept[1] and "Website policies" not in kept[1] and kept[3] == ""
+    page = rows[130][3]
+    dirty = spark.createDataFrame([("d", 1, page + "\n\n"), ("d", 1, page + "\n\n"), ("d", 2, None), ("d", 3, "")], "doc_id string, page int, text string")
+    lines = main_content.boilerplate_lines(dirty, model)
+    assert lines.count() == lines.distinct().count() == found[130].sum()
+    kept = {r.page: r.text for r in main_content.main_content(dirty, model).collect()}
+    assert made[130][2][4] in kept[1] and "House rules" not in kept[1] and kept[3] == ""
+
+
+def test_long_pages_are_labelled_as_a_whole(monkeypatch):
+    rng = random.Random(5)
+    page = [x for i in range(90) for x in web_page(rng, "a")[0]]
+    assert len(page) > 1000
+    model = main_content.BiLSTM(4)
+    x, mask = main_content._padded([main_content.block_vectors(page)])
+    whole = model.scores(x, mask)[:, 0]
+    assert np.allclose(model.scores_in_blocks(page, 100), whole, atol=1e-4)
+    monkeypatch.setattr(main_content, "BLOCK", 300)
+    assert (main_content.label_pages(model, [page, page[:5]])[0] == (whole > 0)).mean() > 0.999
 
 
 def test_gradients_match_differences():
@@ -133,7 +147,7 @@ def test_repeated_lines_agree_with_brute_force(spark):
     assert got == want
 
 
-def test_leaks_agree_with_brute_force(spark):
+def test_leaks_agree_with_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     refs = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.choice([5, 14, 30])))) for i in range(20)]
     docs = []
@@ -149,6 +163,9 @@ def test_leaks_agree_with_brute_force(spark):
     got = {(r.doc_id, r.item_id) for r in found.where("exact").collect()}
     grams = lambda t: {tuple(w[i : i + 12]) for w in [re.findall(r"[^\W_]+", (t or "").lower())] for i in range(len(w) - 11)}
     assert got == {(d, i) for d, t in docs for i, r in refs if grams(t) & grams(r)}
+    monkeypatch.setattr(leakage, "INDEX_CHARS", 300)  # several indexes find the same
+    found = leakage.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    assert got == {(r.doc_id, r.item_id) for r in found.where("exact").collect()}
 
 
 def test_turns_across_interruptions_and_noise(spark):
