@@ -7,8 +7,9 @@ So each document's q-grams are looked up among those of all items, the hits are
 counted in overlapping bands of diagonals, and only bands that reach the bound
 of the item's shortest window are verified by banded alignment.
 
-The items are a fixed held-out set: their q-grams are broadcast after a check of
-their count. Documents stay in their partitions; nothing of them is shuffled.
+The items are a stated held-out set: their q-grams are broadcast in indexes of at
+most INDEX_CHARS characters or so, and the documents are searched once for each.
+Documents stay in their partitions; nothing of them is shuffled.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 WORDS = re.compile(r"[^\W_]+")
 Q, EDITS, MIN_WORDS = 16, 1, 12
-MAX_ITEM_CHARS = 50_000_000
+INDEX_CHARS = 4_000_000  # an index holds about 30 bytes a character
 BLOCK_CHARS = 400_000
 _BASE = np.uint64(1_099_511_628_211)
 
@@ -172,13 +173,16 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """
     fields = items.select(F.col("item_id").cast("long").alias("item_id"), F.explode(F.create_map(F.lit("question"), F.col("question"), F.lit("reference"), F.col("reference"))).alias("field", "text"))
     fields = fields.where(F.length("text") > 2 * MIN_WORDS - 2).distinct()
-    chars = fields.agg(F.sum(F.length("text"))).first()[0] or 0
-    if chars > MAX_ITEM_CHARS:
-        raise ValueError(f"the held-out items hold {chars} characters, more than {MAX_ITEM_CHARS}: search them in several calls")
-    passages = [(r.item_id, r.field, t) for r in fields.orderBy("item_id", "field", "text").collect() if word_windows(t := normal(r.text))]
-    index = documents.sparkSession.sparkContext.broadcast(ItemIndex(passages))
+    spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
-    found = documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInPandas(
-        _searcher(index), f"doc_id {kind}, item_id long, field string, edits int, exact boolean"
-    )
+    schema = f"doc_id {kind}, item_id long, field string, edits int, exact boolean"
+    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull())
+    chars = fields.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(1, -(-chars // INDEX_CHARS))
+    found = spark.createDataFrame([], schema)
+    for k in range(parts):
+        part = fields if parts == 1 else fields.where(F.pmod(F.xxhash64("item_id", "field"), F.lit(parts)) == k)
+        passages = [(r.item_id, r.field, t) for r in part.orderBy("item_id", "field", "text").toLocalIterator() if word_windows(t := normal(r.text))]
+        if passages:
+            found = found.unionByName(texts.mapInPandas(_searcher(spark.sparkContext.broadcast(ItemIndex(passages))), schema))
     return found.groupBy("doc_id", "item_id", "field").agg(F.min("edits").alias("edits"), F.max("exact").alias("exact"))
