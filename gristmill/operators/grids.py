@@ -16,7 +16,7 @@ from gristmill.functions.text import cell, is_missing, is_value, number_in, peri
 
 NOTE = r"(?i)^(?:sources?|notes?)\b\s*[:.]"
 NO_TITLE = r"(?i)^(?:sources?|notes?|©|\*|return to)"
-LONG_NOTE, LONG_LABEL, LONG_TITLE = 60, 120, 200
+LONG_NOTE, LONG_GROUP, LONG_LABEL, LONG_TITLE = 60, 100, 120, 200
 GAP = 3  # so many blank rows end a table
 
 
@@ -90,9 +90,15 @@ def blocks(cells: DataFrame) -> DataFrame:
     above = (F.col("r") < F.col("d")) & F.exists("cells", lambda x: x["c"] >= first_value) & ~caption & ~note & ~F.exists("cells", lambda x: F.length(x["text"]) > LONG_LABEL)
     data = (F.col("r") >= F.col("d")) & _is_data(first_value)
     rows = rows.withColumns({"above": above, "is_data": data})
-    lead_group = (F.col("r") < F.col("d")) & caption & (F.coalesce(F.lead("is_data").over(order), F.lit(False)))
+    short = F.length(F.array_join(own_text, " ")) <= LONG_GROUP
+    lead_group = (F.col("r") < F.col("d")) & caption & short & (F.coalesce(F.lead("is_data").over(order), F.lit(False)))
+    # A header stands right above its data: only notes, the first group and up to two blank rows come between.
+    below = Window.partitionBy("grid", "block").orderBy("r").rowsBetween(1, Window.unboundedFollowing)
+    barrier = (F.col("r") < F.col("d")) & (~F.col("above") & ~lead_group & ~note | (F.coalesce("gap", F.lit(1)) > GAP))
+    rows = rows.withColumn("barrier", barrier)
+    rows = rows.withColumn("above", F.col("above") & (F.coalesce(F.sum(F.col("barrier").cast("int")).over(below), F.lit(0)) == 0))
     has_header = F.max(F.col("above").cast("int")).over(in_block) == 1
-    group = (F.col("r") > F.col("d")) & ~F.col("is_data") & F.forall("cells", lambda x: x["c"] < first_value) & (size <= 2) & F.coalesce(F.lead("is_data").over(order), F.lit(False))
+    group = (F.col("r") > F.col("d")) & ~F.col("is_data") & F.forall("cells", lambda x: x["c"] < first_value) & (size <= 2) & short & F.coalesce(F.lead("is_data").over(order), F.lit(False))
     part = (
         F.when(F.col("is_data"), F.lit("data")).when(F.col("above"), F.lit("header")).when(group | lead_group & has_header, F.lit("group"))
         .when(F.col("d").isNull() | (F.col("r") > F.col("d")) | F.exists("cells", lambda x: x["text"].rlike(NO_TITLE)) | (F.length(F.col("cells")[0]["text"]) > LONG_TITLE), F.lit("note"))
