@@ -51,13 +51,26 @@ def summary(points: DataFrame) -> DataFrame:
 
 
 def as_of(rows: DataFrame, points: DataFrame) -> DataFrame:
-    """rows (series, date, ...) with the value of the latest point on or before their date, null before the first.
+    """rows (series, date, ...) with the value of the latest point on or before their date, null before the first and for null dates.
 
-    One sort of both sides by series and date; no range join.
+    The points are carried forward over the different dates that rows have, which are
+    few however many rows there are; rows then meet them by series and date alone, so
+    no row enters a window. Of several points of one date the greatest value holds.
     """
-    extra = [c for c in rows.columns if c not in ("series", "date")]
-    marked = rows.select("series", "date", F.lit(1).alias("kind"), F.struct(F.lit(0).alias("_"), *extra).alias("row"), F.lit(None).cast("double").alias("value"))
-    known = points.select("series", "date", F.lit(0).alias("kind"), F.lit(None).cast(marked.schema["row"].dataType).alias("row"), "value")
-    order = Window.partitionBy("series").orderBy("date", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = known.unionByName(marked).withColumn("as_of", F.last("value", ignorenulls=True).over(order)).where("kind = 1")
-    return both.select("series", "date", *[F.col(f"row.{c}").alias(c) for c in extra], "as_of")
+    once = points.where("date is not null").groupBy("series", "date").agg(F.max("value").alias("value"))
+    asked = rows.where("date is not null").select("series", "date").distinct()
+    order = Window.partitionBy("series").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    filled = asked.join(once, ["series", "date"], "full").withColumn("as_of", F.last("value", ignorenulls=True).over(order))
+    return rows.join(filled.select("series", "date", "as_of"), ["series", "date"], "left")
+
+
+def described(points: DataFrame, is_rate: bool = False, most: int = 24, changes_at_most: int = 40) -> DataFrame:
+    """summary with `points_change` for rates (percentage points), and which rows tell a series best: its changes or a sample of it.
+
+    A long series with few changes is a step series: `shows` is 'changes', else 'sample'.
+    """
+    counts = change_points(points).groupBy("series").agg(F.count("*").alias("n_changes"))
+    found = summary(points).join(counts, "series", "left").fillna(0, ["n_changes"])
+    steps = (F.col("n") > most) & (F.col("n_changes") <= changes_at_most)
+    named = found.withColumn("shows", F.when(steps, F.lit("changes")).otherwise(F.lit("sample")))
+    return named.drop("change_pct").withColumnRenamed("change", "points_change") if is_rate else named

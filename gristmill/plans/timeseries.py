@@ -46,7 +46,12 @@ def series_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.as_of(rows, points)
 
 
-QUERIES = {f.__name__: f for f in (series_changes, series_yoy, series_change_points, series_sampled, series_summary, series_as_of)}
+def series_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each priority's monthly series is best shown."""
+    return series.described(monthly(spark, sf_dir)).select("series", "n", "n_changes", "shows", "change_pct")
+
+
+QUERIES = {f.__name__: f for f in (series_changes, series_yoy, series_change_points, series_sampled, series_summary, series_described, series_as_of)}
 
 _M = "m AS (SELECT o_orderpriority AS series, strftime(o_orderdate, '%Y-%m') AS date, count(*)::DOUBLE AS value FROM orders GROUP BY 1, 2)"
 _LAG = "l AS (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY date) AS before FROM m)"
@@ -61,6 +66,9 @@ ORACLE_SQL = {
         arg_min(date, (value, date)) AS low_date, max(value) AS high, arg_min(date, (-value, date)) AS high_date, round(avg(value), 6) AS mean,
         round(arg_max(value, date) - arg_min(value, date), 6) AS change, round((arg_max(value, date) - arg_min(value, date)) / nullif(arg_min(value, date), 0) * 100, 6) AS change_pct
         FROM m GROUP BY series""",
+    "series_described": f"""WITH {_M}, {_LAG}, c AS (SELECT series, count(*) FILTER (WHERE before <> value) AS n_changes FROM l GROUP BY series),
+        g AS (SELECT series, count(value) AS n, round((arg_max(value, date) - arg_min(value, date)) / nullif(arg_min(value, date), 0) * 100, 6) AS change_pct FROM m GROUP BY series)
+        SELECT g.series, n, n_changes, CASE WHEN n > 24 AND n_changes <= 40 THEN 'changes' ELSE 'sample' END AS shows, change_pct FROM g JOIN c ON g.series = c.series""",
     "series_as_of": """WITH d AS (SELECT event_type AS series, CAST(ts AS DATE) AS day, max(value) AS value FROM events GROUP BY 1, 2)
         SELECT e.event_type AS series, strftime(e.ts, '%Y-%m-%d') AS date, e.event_id, d.value AS as_of
         FROM events e ASOF LEFT JOIN d ON e.event_type = d.series AND CAST(e.ts AS DATE) > d.day""",
