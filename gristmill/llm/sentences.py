@@ -8,7 +8,9 @@ scripts written without spaces a dictionary word lattice cuts the text beside a
 gap into words, and the final and opening words decide whether the gap ends a
 sentence. Abbreviations that are never a sentence's last word are learned from
 all documents: a word whose full stop is mostly followed by a small letter or a
-digit. As many documents as there are, at most MAX_LEARNED words can be learned.
+digit. The words of the lattices are learned from all documents too: strings of
+spaceless scripts whose neighbours vary on both sides. As many documents as there
+are, at most MAX_LEARNED abbreviations and words can be learned.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,6 +43,9 @@ CLOSERS = "”“’»)\\]」』）》\"'"
 # Opening words that carry on a sentence after a closed quotation.
 CJK_CONTINUES = ("と", "との", "という", "を", "に", "は", "が", "の", "も", "で", "ため", "から", "有记者", "有人", "一位", "，", "、", "；", "。")
 
+# Words that begin like one of these particles.
+CJK_WORDS = "とても ところ ところが とくに とりわけ ともに もし もう もっとも もちろん でも では では、 にもかかわらず がんばる はじめ はず のち".split()
+
 # Thai dictionary: words that cannot end a statement, words that cannot open one, and other words of the domain.
 THAI_OPEN_ENDED = "ร้อยละ ที่ ภายใน ใน ปี ฉบับที่ รายงาน และ หรือ ว่า ของ จาก โดย ระบุว่า คาดว่า ธนาคาร ไว้ที่ เป็น ประมาณ ราว".split()
 THAI_CONTINUING = "และ หรือ แห่ง เดือน ต่อปี ต่อ ระบุว่า ว่า ที่ ของ จาก โดย ซึ่ง แต่ เพราะ ครั้ง บาท ล้าน คน ราย จุด เปอร์เซ็นต์".split()
@@ -62,20 +68,23 @@ LIST_NUMBER = re.compile(r"^\W*(?:\d{1,3}|[A-Za-z]|[ivxlc]{1,5})$")
 HEADING_LABEL = re.compile(r"^\W*[^\W\d_]+ \d{1,3}(?:\.\d{1,3})*$")
 STOP = re.compile(r"(?<!\w)([^\W\d_]{1,12})\.(?=\s+[(\[«“„]?(\w))")
 
+SPACELESS = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]+")
+LONGEST_WORD, ONE_SIDED = 8, 0.7
 SPLIT_COST = 10.0
 LEARNED_SHARE, LEARNED_LEAST, MAX_LEARNED = 0.6, 5, 100_000
 
 
-def words_by_lattice(text: str, words: frozenset[str], longest: int) -> list[str]:
-    """The cheapest segmentation of text: a dictionary word costs 1, an unknown character 3."""
+def words_by_lattice(text: str, words: frozenset[str], longest: int, learned: frozenset[str] = frozenset()) -> list[str]:
+    """The cheapest segmentation of text: a dictionary word costs 1, a learned one 1.5, an unknown character 3."""
     n = len(text)
     best, back = [0.0] + [1e9] * n, [0] * (n + 1)
     for i in range(n):
         if best[i] + 3 < best[i + 1]:
             best[i + 1], back[i + 1] = best[i] + 3, i
-        for j in range(i + 2, min(n, i + longest) + 1):
-            if text[i:j] in words and best[i] + 1 < best[j]:
-                best[j], back[j] = best[i] + 1, i
+        for j in range(i + 1, min(n, i + longest) + 1):
+            cost = 1.0 if text[i:j] in words else 1.5 if text[i:j] in learned else 3e9
+            if best[i] + cost < best[j]:
+                best[j], back[j] = best[i] + cost, i
     out, j = [], n
     while j:
         out.append(text[back[j] : j])
@@ -86,12 +95,25 @@ def words_by_lattice(text: str, words: frozenset[str], longest: int) -> list[str
 _THAI_ALL = frozenset(THAI_OPEN_ENDED + THAI_CONTINUING + THAI_WORDS)
 _THAI_LONGEST = max(map(len, _THAI_ALL))
 _OPEN_ENDED, _CONTINUING = frozenset(THAI_OPEN_ENDED), frozenset(THAI_CONTINUING)
+_CJK_ALL = frozenset([*CJK_CONTINUES, *CJK_WORDS])
+_CJK_LONGEST = max(map(len, _CJK_ALL))
+
+
+@dataclass(frozen=True)
+class Learned:
+    """What counts over all documents teach: abbreviations that end no sentence, and words of spaceless scripts."""
+
+    abbreviations: frozenset[str] = frozenset()
+    words: frozenset[str] = frozenset()
+
 
+NOTHING = Learned()
 
-def _unspaced_ends(text: str) -> list[int]:
+
+def _unspaced_ends(text: str, learned: Learned) -> list[int]:
     """Ends of statements in a script that marks them by gaps: the words beside a gap, taken from a lattice over whole runs, decide."""
     runs = list(re.finditer(r"\S+", text))
-    words = [words_by_lattice(r.group(), _THAI_ALL, _THAI_LONGEST) for r in runs]
+    words = [words_by_lattice(r.group(), _THAI_ALL, max(_THAI_LONGEST, LONGEST_WORD), learned.words) for r in runs]
     ends = []
     for a, b, before, after in zip(runs, runs[1:], words, words[1:]):
         digits = a.group()[-1].isdigit() or b.group()[0].isdigit()
@@ -101,7 +123,7 @@ def _unspaced_ends(text: str) -> list[int]:
     return ends + ([runs[-1].end()] if runs else [])
 
 
-def _node_cost(text: str, m: re.Match, end: int, learned: frozenset[str]) -> float | None:
+def _node_cost(text: str, m: re.Match, end: int, learned: Learned) -> float | None:
     """Cost of ending a sentence at the terminator m; None where no sentence can end."""
     rest = text[end:]
     mark = m.group()[: end - m.start()]
@@ -117,7 +139,9 @@ def _node_cost(text: str, m: re.Match, end: int, learned: frozenset[str]) -> flo
             opened = text[: m.start()].rfind("（")
             return 0.0 if opened <= 0 or text[:opened].rstrip()[-1:] in "。！？…”」』" else 12.0
         if closers and not spaced and rest.startswith(CJK_CONTINUES):
-            return 12.0
+            run = SPACELESS.match(rest)
+            opens = words_by_lattice(run.group(), _CJK_ALL, max(_CJK_LONGEST, LONGEST_WORD), learned.words)[0] if run else rest[0]
+            return 12.0 if opens in CJK_CONTINUES or not run else 0.0
         return 0.0 if not rest.lstrip().startswith(("，", "、", "；")) else 12.0
     nxt = rest.lstrip()[0]
     if nxt in ",;:—–-…" or first.islower():
@@ -146,7 +170,7 @@ def _node_cost(text: str, m: re.Match, end: int, learned: frozenset[str]) -> flo
         return None
     if low in TRAILING_ABBREVIATIONS:
         return 1.0
-    if low in learned:
+    if low in learned.abbreviations:
         return None
     if low in LEADING_ABBREVIATIONS and (low not in ("no", "a", "al") or word[0].isupper() or first.isdigit()):
         return None
@@ -178,7 +202,7 @@ def _enclosed(text: str) -> tuple[list[int], list[int]]:
     return starts, stops
 
 
-def _paragraph_ends(text: str, learned: frozenset[str]) -> list[int]:
+def _paragraph_ends(text: str, learned: Learned) -> list[int]:
     last = len(text.rstrip())
     starts, stops = _enclosed(text) if any(c in text for c in "“„«(（「『《[\"") else ([], [])
     heading = "\n" not in text and len(text) < 120 and text[last - 1] not in ENDS + CLOSERS
@@ -201,8 +225,8 @@ def _paragraph_ends(text: str, learned: frozenset[str]) -> list[int]:
     return ends if ends and ends[-1] == last else [*ends, last]
 
 
-def sentence_ends(text: str | None, learned: frozenset[str] = frozenset()) -> list[int]:
-    """End offsets (code points) of text's sentences in order; empty for null or blank text. learned: abbreviations that end no sentence."""
+def sentence_ends(text: str | None, learned: Learned = NOTHING) -> list[int]:
+    """End offsets (code points) of text's sentences in order; empty for null or blank text."""
     if not text or not text.strip():
         return []
     ends: list[int] = []
@@ -212,7 +236,7 @@ def sentence_ends(text: str | None, learned: frozenset[str] = frozenset()) -> li
         if part.strip():
             lead = len(part) - len(part.lstrip())
             body = part.strip()
-            ends += [start + lead + e for e in (_unspaced_ends(body) if len(UNSPACED.findall(body)) * 2 > len(body) else _paragraph_ends(body, learned))]
+            ends += [start + lead + e for e in (_unspaced_ends(body, learned) if len(UNSPACED.findall(body)) * 2 > len(body) else _paragraph_ends(body, learned))]
         start = m.end() if m else len(text)
     return ends
 
@@ -250,7 +274,42 @@ def learned_abbreviations(documents: DataFrame) -> frozenset[str]:
     return frozenset(r.word for r in rows)
 
 
-def _ends_of_batches(learned: frozenset[str]):
+def _substrings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Partial counts of all strings of 2 to LONGEST_WORD + 1 characters in runs of spaceless scripts."""
+    seen: Counter = Counter()
+    partial = lambda: pd.DataFrame({"word": pd.Series(list(seen), dtype=object), "n": pd.Series(list(seen.values()), dtype="int64")})
+    for batch in batches:
+        for text in batch["text"]:
+            for run in SPACELESS.findall(text or ""):
+                seen.update(run[i:j] for i in range(len(run)) for j in range(i + 2, min(len(run), i + LONGEST_WORD + 1) + 1))
+            if len(seen) > 1_000_000:
+                yield partial()
+                seen.clear()
+    yield partial()
+
+
+def learned_words(documents: DataFrame) -> frozenset[str]:
+    """Strings of spaceless scripts that stand before and after varying characters, by counts over all documents.
+
+    Where one longer string makes up most of a string's places, the string is a part of
+    a word. Strings that end in an open-ended word or begin with a continuing one are
+    left out: these particles are words of their own. A word counts from LEARNED_LEAST
+    places and from 1 / MAX_LEARNED of all on.
+    """
+    counts = documents.select("text").mapInPandas(_substrings, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = cut_lineage(counts.where(F.col("n") >= LEARNED_LEAST))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    longer = counts.where(F.length("word") >= 3)
+    to_right = longer.groupBy(F.expr("left(word, length(word) - 1)").alias("word")).agg(F.max("n").alias("right"))
+    to_left = longer.groupBy(F.expr("right(word, length(word) - 1)").alias("word")).agg(F.max("n").alias("left"))
+    free = counts.where((F.length("word") <= LONGEST_WORD) & (F.col("n") >= total / MAX_LEARNED)).join(to_right, "word", "left").join(to_left, "word", "left")
+    rows = free.where(F.greatest(F.coalesce("right", F.lit(0)), F.coalesce("left", F.lit(0))) <= ONE_SIDED * F.col("n")).select("word").collect()
+    release(counts)
+    particles = (tuple(THAI_OPEN_ENDED), (*THAI_CONTINUING, *CJK_CONTINUES))
+    return frozenset(r.word for r in rows if not r.word.endswith(particles[0]) and not r.word.startswith(particles[1]))
+
+
+def _ends_of_batches(learned: Learned):
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "ends": [sentence_ends(t, learned) for t in b["text"]]})
@@ -264,6 +323,6 @@ def split_sentences(documents: DataFrame) -> DataFrame:
     Null and blank texts have no sentences; of unequal texts under one doc_id the smallest counts.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    ends = documents.select("doc_id", "text").mapInPandas(_ends_of_batches(learned_abbreviations(documents)), f"doc_id {kind}, ends array<int>")
+    ends = documents.select("doc_id", "text").mapInPandas(_ends_of_batches(Learned(learned_abbreviations(documents), learned_words(documents))), f"doc_id {kind}, ends array<int>")
     once = ends.groupBy("doc_id").agg(F.min("ends").alias("ends"))
     return once.select("doc_id", F.posexplode("ends").alias("at", "end_pos")).select("doc_id", (F.col("at") + 1).alias("sent_no"), "end_pos")

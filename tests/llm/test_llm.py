@@ -182,3 +182,52 @@ def test_sentences(spark):
     for r in sentences.split_sentences(spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")).orderBy("doc_id", "sent_no").collect():
         got.setdefault(r.doc_id, []).append(r.end_pos)
     assert got[1] == [29, 60, 69] and got[4] == [5, 10] and 2 not in got and 3 not in got
+
+
+def ends(text, learned=sentences.NOTHING):
+    out, start = [], 0
+    for e in sentences.sentence_ends(text, learned):
+        out.append(text[start:e].strip())
+        start = e
+    return out
+
+
+LANGUAGES = {
+    "en": ["Rates rose, cf. No. 3 of the list.", "“Not yet. We wait,” the Chair said.", "(Staff agreed.)", "Was it 3.5 percent?", "It closed at 5 p.m.", "Dr. Lee left."],
+    "de": ["Am 3. März tagte der Rat, z. B. in Bonn.", "„Noch nicht. Wir warten“, sagte sie.", "Die Quote lag bei ca. 3,5 Prozent."],
+    "fr": ["Le taux a atteint 3,5 %.", "« Rien ne presse. Attendons », a dit M. Petit.", "Pourquoi ?", "Cf. l'annexe n° 3, p. 4."],
+    "es": ["El Sr. Vega votó en contra.", "¿Bastará?", "«Falta tiempo. Veremos», dijo en enero.", "Creció aprox. 3,5 %."],
+    "hi": ["दर 3.5 प्रतिशत है।", "“अभी नहीं। देखें,” एक सदस्य ने कहा।", "क्या दर बढ़ेगी?"],
+    "zh": ["利率上升（见表3.2。），贷款放缓。", "主席表示：“稳健。我们等待。”", "为什么？", "“会反弹吗？”有记者问道。"],
+    "ja": ["金利は上がった（表2.9を参照。）ため、貸出も鈍化した。", "「回復するのか？」との質問が出た。", "なぜか？"],
+}
+
+
+@pytest.mark.parametrize("lang", sorted(LANGUAGES))
+def test_sentences_of_a_language(lang):
+    glue = "" if lang in ("zh", "ja") else " "
+    assert ends(glue.join(LANGUAGES[lang])) == LANGUAGES[lang]
+
+
+def test_statements_of_scripts_without_end_marks():
+    statements = ["อัตราเงินเฟ้อขยายตัวร้อยละ 5.8 และสินเชื่อธนาคารทรงตัว", "ทำไมการส่งออกจึงอ่อนแอ", "รายงานฉบับที่ 47 ระบุว่าค่าจ้างแรงงานชะลอลง"]
+    assert ends(" ".join(statements)) == statements
+    assert ends("ខ្ញុំទៅផ្ទះ។ គាត់នៅទីនេះ។") == ["ខ្ញុំទៅផ្ទះ។", "គាត់នៅទីនេះ។"]
+
+
+def test_long_quotations_headings_and_particles():
+    quotation = "“" + " ".join(f"Part {i} was said." for i in range(60)) + "” she told them."
+    assert ends(quotation + " They left.") == [quotation, "They left."]
+    assert ends("Box 7. Rental inflation\n\nRents rose.") == ["Box 7. Rental inflation", "Rents rose."]
+    assert ends("「回復した。」とても良い。") == ["「回復した。」", "とても良い。"]
+    assert ends("「回復した。」と述べた。") == ["「回復した。」と述べた。"]
+
+
+def test_abbreviations_and_words_are_learned(spark):
+    texts = [f"They met, cf. abz. {i} of the record. Rates rose." for i in range(8)] + [f"{a}利率政策{b}。" for a in "甲乙丙丁戊己" for b in "子丑寅卯辰巳"] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert "abz" in sentences.learned_abbreviations(df) and "record" not in sentences.learned_abbreviations(df)
+    words = sentences.learned_words(df)
+    assert "利率政策" in words and "利率政" not in words
+    got = {r.doc_id: r.n for r in sentences.split_sentences(df).groupBy("doc_id").count().withColumnRenamed("count", "n").collect()}
+    assert got[0] == 2 and len(got) == 44
