@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.session import cut_lineage
+from gristmill.session import cut_lineage, small_side
 
 RELEASE_DATE = r"_(\d{4}(?:q[1-4]|_\d{2}(?:_\d{2})?)?)(?=__|$)"
 NUMBER = r"^\s*[($]*\s*([-−]?\d[\d,]*(?:\.\d+)?|[-−]?\.\d+)"
@@ -80,44 +80,49 @@ def latest_records(records: DataFrame) -> DataFrame:
     return last.select("table", "row_no", fields.alias("fields"))
 
 
-def _cells(records: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
-    """pair, key, entries (axis, name, number) of one side: per period for wide tables, per row and header values for long ones."""
-    mine = pairs.select("pair", F.col(f"{side}.table").alias("table"), "shared_levels")
-    rows = records.join(mine, "table")
+def _cells(records: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id (of pair and axis), pair, side, key, name, number: per period for wide tables, per row and header values for long ones; both sides in one pass."""
+    shared = F.array_intersect(F.transform("a.levels", lambda l: l["level"]), F.transform("b.levels", lambda l: l["level"]))
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{side}.table").alias("table")) for side in "ab"])
+    mine = pairs.select("pair", shared.alias("shared_levels"), F.explode(sides).alias("x")).select("pair", "shared_levels", "x.side", "x.table")
+    rows = records.join(small_side(mine), "table")
     get = lambda n: F.element_at("fields", F.lit(n))
     is_long = F.map_contains_key("fields", F.lit("row_label")) & F.map_contains_key("fields", F.lit("h1"))
-    wide = rows.where(~is_long).select(
-        "pair", F.lit("").alias("axis"), F.lower(get("period")).alias("key"),
-        F.explode(F.map_filter("fields", lambda k, v: (k != "period") & v.isNotNull())).alias("name", "text"),
-    )
-    value = F.coalesce(get("value"), get("value_text"))
     level_at = lambda l: F.lower(F.trim(F.coalesce(F.element_at("fields", l), F.lit(""))))
-    long = rows.where(is_long).select("pair", "fields", "shared_levels", value.alias("text"), F.explode("shared_levels").alias("axis"))
-    others = F.transform(F.filter("shared_levels", lambda l: l != F.col("axis")), level_at)
-    long = long.select(
-        "pair", "axis", F.concat_ws("\x1f", F.lower(F.coalesce(get("row_label"), F.lit(""))), F.concat_ws("\x1f", others)).alias("key"),
-        F.concat(F.col("axis"), F.lit("="), level_at(F.col("axis"))).alias("name"), "text",
-    )
-    cells = wide.unionByName(long).withColumn("number", F.round(number_of(F.col("text")), 6)).where("number is not null and key is not null")
-    return cells.select("pair", "axis", "key", "name", "number").distinct()
+    one = lambda axis, key, name, text: F.struct(axis.alias("axis"), key.alias("key"), name.alias("name"), text.alias("text"))
+    wide = F.transform(
+        F.map_entries(F.map_filter("fields", lambda k, v: (k != "period") & v.isNotNull())),
+        lambda e: one(F.lit(""), F.lower(get("period")), e["key"], e["value"]),
+    )
+    label = F.lower(F.coalesce(get("row_label"), F.lit("")))
+    others = lambda axis: F.transform(F.filter("shared_levels", lambda l: l != axis), level_at)
+    long = F.transform(
+        "shared_levels",
+        lambda l: one(l, F.concat_ws("\x1f", label, F.concat_ws("\x1f", others(l))), F.concat(l, F.lit("="), level_at(l)), F.coalesce(get("value"), get("value_text"))),
+    )
+    each = rows.select("pair", "side", F.explode(F.when(is_long, long).otherwise(wide)).alias("c")).select("pair", "side", "c.*")
+    numbered = each.withColumn("number", F.round(number_of(F.col("text")), 6)).where("number is not null and key is not null")
+    named = numbered.select(F.xxhash64("pair", "axis").alias("id"), "pair", "side", F.xxhash64("key").alias("key"), "name", "number")
+    return named.groupBy("id", "side", "key", "name").agg(F.max("number").alias("number"), F.max("pair").alias("pair"))
 
 
 def evidence(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """pair, seen: (old, new, shared, equal) for every two fields of one axis that hold the same number for some period, or have one name.
+    """pair, seen: (old, new, shared, equal) for every two fields of one axis that hold the same number for two periods, or have one name.
 
     Only equal cells are joined, so two fields meet as often as they agree; the periods
     they share are counted for those pairs alone.
     """
-    pairs = pairs.withColumn("shared_levels", F.array_intersect(F.transform("a.levels", lambda l: l["level"]), F.transform("b.levels", lambda l: l["level"])))
-    a, b = (cut_lineage(_cells(records, pairs, side)) for side in "ab")
-    axis = ["pair", "axis"]
-    old, new = a.withColumnRenamed("name", "old"), b.withColumnRenamed("name", "new")
-    equal = old.join(new, [*axis, "key", "number"]).groupBy(*axis, "old", "new").agg(F.count_distinct("key").alias("equal"))
-    kept = a.select(*axis, F.col("name").alias("old")).distinct().join(b.select(*axis, F.col("name").alias("new")).distinct(), axis).where("old = new")
-    wanted = equal.select(*axis, "old", "new").unionByName(kept).distinct()
-    shared = wanted.join(old, [*axis, "old"]).join(new.select(*axis, "key", "new").distinct(), [*axis, "key", "new"]).groupBy(*axis, "old", "new").agg(F.count_distinct("key").alias("shared"))
-    counts = shared.join(equal, [*axis, "old", "new"], "left")
-    return counts.groupBy("pair").agg(F.collect_list(F.struct("old", "new", "shared", F.coalesce("equal", F.lit(0)).alias("equal"))).alias("seen"))
+    cells = cut_lineage(_cells(records, pairs))
+    a = cells.where("side = 'a'").select("id", "key", F.col("name").alias("old"), "number", "pair")
+    b = cells.where("side = 'b'").select("id", "key", F.col("name").alias("new"), F.col("number").alias("number_b"))
+    same = F.col("number") == F.col("number_b")
+    kept = a.join(b.withColumnRenamed("new", "old"), ["id", "key", "old"]).groupBy("id", "old").agg(F.max("pair").alias("pair"), F.count("*").alias("shared"), F.count_if(same).alias("equal"))
+    kept = kept.select("pair", "old", F.col("old").alias("new"), "shared", "equal")
+    equal = a.join(b.withColumnRenamed("number_b", "number"), ["id", "key", "number"]).where("old <> new").groupBy("id", "old", "new").agg(F.max("pair").alias("pair"), F.count("*").alias("equal"))
+    other = cut_lineage(equal.where("equal >= 2"))
+    shared = other.select("id", "old", "new").join(a.select("id", "key", "old"), ["id", "old"]).join(b.select("id", "key", "new"), ["id", "key", "new"]).groupBy("id", "old", "new").agg(F.count("*").alias("shared"))
+    renamed = other.join(shared, ["id", "old", "new"]).select("pair", "old", "new", "shared", "equal")
+    return kept.unionByName(renamed).groupBy("pair").agg(F.collect_list(F.struct("old", "new", "shared", "equal")).alias("seen"))
 
 
 def assignment(cost: np.ndarray) -> list[int]:
@@ -259,7 +264,7 @@ def _scripts_of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
 
 def edit_scripts(catalog: DataFrame, docs: DataFrame, records: DataFrame) -> DataFrame:
     """series, table_from, table_to, change_kind, old_name, new_name: the whole script, 'same' steps included."""
-    pairs = neighbours(releases(catalog, docs)).withColumn("pair", F.concat_ws("\x1f", "a.table", "b.table"))
+    pairs = cut_lineage(neighbours(releases(catalog, docs)).withColumn("pair", F.concat_ws("\x1f", "a.table", "b.table")))
     found = evidence(pairs, latest_records(records))
     return pairs.join(found, "pair", "left").select("series", "a", "b", "seen").mapInPandas(
         _scripts_of_batches, "series string, table_from string, table_to string, change_kind string, old_name string, new_name string"
