@@ -115,6 +115,47 @@ def blocks(cells: DataFrame) -> DataFrame:
     return rows.select("grid", "block", "r", "part", "level", "group", "first_value", F.transform("cells", lambda x: F.struct(x["c"].alias("c"), x["text"].alias("text"))).alias("cells"))
 
 
+def forced_blocks(cells: DataFrame, depths: DataFrame) -> DataFrame:
+    """blocks of grids whose header depth is declared; depths (grid, header_rows). Blank rows don't count.
+
+    Leading columns with less than half values, ranges counted as such, label the rows;
+    a row of labels alone, or of one text over several columns, names a group.
+    """
+    held = F.struct("c", "text", is_value(F.col("text"), ranges=True).alias("is_value"))
+    rows = cells.where(F.col("text").isNotNull()).groupBy("grid", "r").agg(F.array_sort(F.collect_list(held)).alias("cells")).join(depths, "grid")
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("grid").orderBy("r")))
+    body = rows.where(F.col("nth") > F.col("header_rows")).select("grid", F.explode("cells").alias("x")).select("grid", "x.*")
+    kinds = body.groupBy("grid", "c").agg((F.count_if("is_value") < 0.5 * F.count("*")).alias("labels"))
+    first = kinds.groupBy("grid").agg(F.coalesce(F.min(F.when(~F.col("labels"), F.col("c"))), F.max("c") + 1).alias("first_value"))
+    rows = rows.join(first, "grid")
+    texts = F.array_distinct(F.transform("cells", lambda x: x["text"]))
+    alone = (F.size("cells") > 1) & (F.size(texts) == 1) | F.forall("cells", lambda x: x["c"] < F.col("first_value"))
+    part = F.when(F.col("nth") <= F.col("header_rows"), F.lit("header")).when(alone, F.lit("group")).otherwise(F.lit("data"))
+    rows = rows.withColumns({"part": part, "named": F.array_join(texts, " ")})
+    so_far = Window.partitionBy("grid").orderBy("r")
+    group = F.when(F.col("part") == "data", F.last(F.when(F.col("part") == "group", F.col("named")), ignorenulls=True).over(so_far))
+    level = F.when(F.col("part") == "header", F.col("nth")).cast("int")
+    return rows.select("grid", F.lit(0).cast("long").alias("block"), "r", "part", level.alias("level"), group.alias("group"), "first_value", F.transform("cells", lambda x: F.struct(x["c"].alias("c"), x["text"].alias("text"))).alias("cells"))
+
+
+def with_inherited_headers(found: DataFrame) -> DataFrame:
+    """blocks in which one without header rows takes those of the nearest block before it in its grid, if both have the same columns and label columns."""
+    shape = found.where("part = 'data'").groupBy("grid", "block").agg(F.max(F.element_at("cells", -1)["c"]).alias("last"), F.max("first_value").alias("labels"))
+    has = found.groupBy("grid", "block").agg(F.max((F.col("part") == "header").cast("int")).alias("has"))
+    blocks_ = shape.join(has, ["grid", "block"])
+    giver = F.last(F.when(F.col("has") == 1, F.struct("block", "last", "labels")), ignorenulls=True).over(Window.partitionBy("grid").orderBy("block"))
+    takers = blocks_.withColumn("giver", giver).where((F.col("has") == 0) & (F.col("giver.last") == F.col("last")) & (F.col("giver.labels") == F.col("labels")))
+    taken = takers.select("grid", F.col("block").alias("to"), F.col("giver.block").alias("block"))
+    extra = found.where("part = 'header'").join(taken, ["grid", "block"]).select("grid", F.col("to").alias("block"), *[c for c in found.columns if c not in ("grid", "block")])
+    return found.unionByName(extra)
+
+
+def year_quarter(year: Column, quarter: Column) -> Column:
+    """'2026-Q3' of a year's and a quarter's column; null where either is none."""
+    y, q = number_in(year).cast("int"), number_in(quarter).cast("int")
+    return F.when(y.isNotNull() & q.between(1, 4), F.concat(y.cast("string"), F.lit("-Q"), q.cast("string")))
+
+
 def headers(found: DataFrame) -> DataFrame:
     """grid, block, c, h: the header labels over each column of a block that holds data, from the top level down; h is null where there is none.
 

@@ -60,6 +60,26 @@ def test_long_tables_keep_both_ends(spark):
     assert got["t"] == [f"row {i}" for i in range(5)] + ["... (20 rows omitted)"] + [f"row {i}" for i in range(25, 30)] and got["u"] == ["only"]
 
 
+def test_a_declared_header_with_ranges(spark):
+    grid = [["Variable", "June", "June", "March"], [None, "2026", "2027", "2026"], ["Growth", "1.8–2.0", "1.9", "2"], ["Range", None, None, None], ["June projection", "3.5–3.7", "—", "3"]]
+    found = grids.forced_blocks(cells_of(spark, grid), spark.createDataFrame([("g", 2)], "grid string, header_rows int"))
+    assert {r.r: r.part for r in found.collect()} == {0: "header", 1: "header", 2: "data", 3: "group", 4: "data"}
+    rows = {(r.row_label, *r.h): (r.row_group, r.value, r.value_text) for r in grids.long_relation(found).collect()}
+    assert rows["Growth", "June", "2026"] == (None, None, "1.8–2.0") and rows["June projection", "March", "2026"] == ("Range", 3.0, "3")
+
+
+def test_a_continued_table_takes_the_header_before_it(spark):
+    grid = [["Rates"], ["kind", "low", "high"], ["first", "1", "2"], [None], [None], [None], [None], ["second", "3", "4"]]
+    found = grids.blocks(cells_of(spark, grid))
+    rows = {(r.row_label, r.h[0]): r.value for r in grids.long_relation(grids.with_inherited_headers(found)).collect()}
+    assert rows == {("first", "low"): 1.0, ("first", "high"): 2.0, ("second", "low"): 3.0, ("second", "high"): 4.0}
+
+
+def test_years_and_quarters(spark):
+    df = spark.createDataFrame([("2026", "3"), ("2026.0", "5"), (None, "1")], "y string, q string")
+    assert [r[0] for r in df.select(grids.year_quarter(F.col("y"), F.col("q"))).collect()] == ["2026-Q3", None, None]
+
+
 def test_no_cells(spark):
     assert grids.long_relation(grids.blocks(cells_of(spark, CROSSTAB).limit(0))).count() == 0
 
