@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.stem import stemmed_terms
 from gristmill.functions.text import content_tokens, date_bound, tokens
-from gristmill.session import cut_lineage, small_side
+from gristmill.session import BROADCAST_ROWS, cut_lineage, small_side
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -54,16 +54,18 @@ def bm25(corpus: DataFrame, queries: DataFrame, analysed: bool = False) -> DataF
     written once; size, frequencies and scores are all read from them. Scores are
     rounded to 9 decimals.
     """
-    terms = small_side(query_terms(queries, analysed))
-    wanted = terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    found = cut_lineage(postings(corpus, small_side(wanted), analysed))
+    terms = query_terms(queries, analysed)
+    few = terms.count() <= BROADCAST_ROWS  # one count holds for the terms, their different ones and their frequencies
+    narrow = F.broadcast if few else lambda df: df
+    wanted = terms.select("term").union(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    found = cut_lineage(postings(corpus, narrow(wanted), analysed))
     size = found.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     found = found.where("term <> ''")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    weights = found.join(small_side(df), "term").crossJoin(F.broadcast(size)).select("id", "term", (idf * F.col("tf") * (K1 + 1) / norm).alias("w"))
-    return weights.join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 9).alias("score"))
+    weights = found.join(narrow(df), "term").crossJoin(F.broadcast(size)).select("id", "term", (idf * F.col("tf") * (K1 + 1) / norm).alias("w"))
+    return weights.join(narrow(terms), "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 9).alias("score"))
 
 
 def hashed_scores(corpus: DataFrame, queries: DataFrame, dims: int = 64) -> DataFrame:
@@ -128,11 +130,12 @@ def dense(vectors: DataFrame, queries: DataFrame, depth: int = DEPTH) -> DataFra
     kind = {f.name: f.dataType.simpleString() for f in [*queries.schema, *vectors.schema]}
     schema = f"query_id {kind['query_id']}, id {kind['id']}, score double"
     held = vectors.where(F.col("vector").isNotNull()).select("id", "vector")
-    passes = max(1, -(-asked.count() // QUERIES_AT_ONCE))
+    rows = asked.limit(QUERIES_AT_ONCE + 1).collect()
+    passes = 1 if len(rows) <= QUERIES_AT_ONCE else -(-asked.count() // QUERIES_AT_ONCE)
     out = spark.createDataFrame([], schema)
     for k in range(passes):
-        part = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == k)
-        rows = part.collect()
+        if passes > 1:
+            rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == k).collect()
         if rows:
             shared = spark.sparkContext.broadcast(np.array([r.vector for r in rows], np.float64))
             out = out.unionByName(held.mapInPandas(_searcher(np.array([r.query_id for r in rows]), shared, depth), schema))

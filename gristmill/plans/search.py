@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.text import sort_date, tokens
 from gristmill.operators import retrieval
-from gristmill.session import table
+from gristmill.session import small_side, table
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question's words over documents, and the vector of its number over vectors of the same ids."""
     asked = questions(spark, sf_dir)
     vectors = _vectors(spark, sf_dir)
-    asked_vectors = vectors.join(F.broadcast(asked.select(F.col("query_id").alias("id"))), "id").select(F.col("id").alias("query_id"), "vector")
+    asked_vectors = vectors.join(small_side(asked.select(F.col("query_id").alias("id"))), "id").select(F.col("id").alias("query_id"), "vector")
     return retrieval.hybrid_search(_documents(spark, sf_dir), vectors, asked, asked_vectors)
 
 
