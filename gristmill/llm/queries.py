@@ -30,18 +30,18 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(_records(spark, sf_dir))
 
 
-def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _transcripts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     pages = inputs.pages_of(spark, sf_dir, F.col("doc_type") == "press_conference", "text")
-    return speaker_turns.speaker_turns(pages, table(spark, sf_dir, "docs").where("doc_type = 'press_conference'").select("doc_id", "speaker"))
+    return pages, table(spark, sf_dir, "docs").where("doc_type = 'press_conference'").select("doc_id", "speaker")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _turns(spark, sf_dir).select("doc_id", "turn_no", "speaker", "first_word", "last_word")
+    return speaker_turns.turn_bounds(*_transcripts(spark, sf_dir))
 
 
 def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clean text of every turn."""
-    return _turns(spark, sf_dir).select("doc_id", "turn_no", "speaker", F.array_join("words", " ").alias("text"), F.size("words").alias("n_words"))
+    return speaker_turns.speaker_turns(*_transcripts(spark, sf_dir)).select("doc_id", "turn_no", "speaker", F.array_join("words", " ").alias("text"), F.size("words").alias("n_words"))
 
 
 def _web_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, main_content.BiLSTM | None]:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.session import cut_lineage, small_side
+
 TIME = r"(?:[\(\[<]?\b\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?\b[\)\]>]?|<\d+h\d+m\d+s>)"
 NAME = r"\p{Lu}[\p{L}'’-]+"
 LABEL = (
@@ -70,15 +72,15 @@ def surname_of(label: Column) -> Column:
     return F.when(last.rlike("^chair(man|woman)?$"), F.lit(None)).otherwise(last)
 
 
-def speaker_turns(pages: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, turn_no, speaker, words, first_word, last_word: each transcript's turns in order.
+def spoken_lines(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, page, line_no, words, speaker, turn_no of every line with words: consecutive lines of one speaker have one turn number.
 
     docs(doc_id, speaker) names the chair where the transcript never does; null and
     empty speakers are allowed. Surnames with two letters exchanged are put right
     after the commonest spelling of the same letters in the whole collection. A
     transcript without labels has no turns; a turn without words is none.
     """
-    lines = transcript_lines(pages).withColumns({"surname": surname_of(F.col("label")), "is_chair": F.col("label").rlike("(?i)^(the )?chair")})
+    lines = cut_lineage(transcript_lines(pages).withColumns({"surname": surname_of(F.col("label")), "is_chair": F.col("label").rlike("(?i)^(the )?chair")}))
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     spoken = lines.where("surname is not null and surname <> 'moderator'").select("doc_id", "is_chair", "surname")
     counts = spoken.groupBy("surname").agg(F.count("*").alias("n"))
@@ -93,12 +95,23 @@ def speaker_turns(pages: DataFrame, docs: DataFrame) -> DataFrame:
         .join(chairs, "doc_id", "left").join(titled, "doc_id", "left").join(from_docs, "doc_id", "left")
         .withColumn("said", F.coalesce("surname", "chair", "titled", "listed", F.lit("chair")))
         .withColumn("letters", letters(F.col("said")))
-        .join(spelling, "letters", "left")
+        .join(small_side(spelling), "letters", "left")
         .select("doc_id", "page", "line_no", "words", F.coalesce("right", "said").alias("speaker"))
     )
     order = Window.partitionBy("doc_id").orderBy("page", "line_no")
     changed = F.coalesce((F.lag("speaker").over(order) != F.col("speaker")).cast("int"), F.lit(1))
-    numbered = known.withColumn("changed", changed).withColumn("turn_no", F.sum("changed").over(order).cast("int"))
+    return known.withColumn("changed", changed).withColumn("turn_no", F.sum("changed").over(order).cast("int")).drop("changed")
+
+
+def turn_bounds(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, turn_no, speaker, first_word, last_word of each turn; nothing of a turn but its two words is carried, however long it is."""
+    at = F.struct("page", "line_no")
+    g = spoken_lines(pages, docs).select("doc_id", "turn_no", "speaker", "page", "line_no", F.element_at("words", 1).alias("first"), F.element_at("words", -1).alias("last"))
+    return g.groupBy("doc_id", "turn_no", "speaker").agg(F.min_by("first", at).alias("first_word"), F.max_by("last", at).alias("last_word"))
+
+
+def speaker_turns(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, turn_no, speaker, words, first_word, last_word: each transcript's turns in order with their words."""
     at = F.struct("page", "line_no", "words")
-    turns = numbered.groupBy("doc_id", "turn_no", "speaker").agg(F.flatten(F.transform(F.array_sort(F.collect_list(at)), lambda x: x["words"])).alias("words"))
+    turns = spoken_lines(pages, docs).groupBy("doc_id", "turn_no", "speaker").agg(F.flatten(F.transform(F.array_sort(F.collect_list(at)), lambda x: x["words"])).alias("words"))
     return turns.select("doc_id", "turn_no", "speaker", "words", F.element_at("words", 1).alias("first_word"), F.element_at("words", -1).alias("last_word"))

@@ -174,6 +174,8 @@ def test_turns_across_interruptions_and_noise(spark):
     docs = spark.createDataFrame([("d", None), ("e", "")], "doc_id string, speaker string")
     got = [(r.turn_no, r.speaker, r.first_word, r.last_word) for r in speaker_turns.speaker_turns(pages, docs).orderBy("turn_no").collect()]
     assert got == [(1, "orwell", "good", "morning"), (2, "moderator", "thanks", "thanks"), (3, "orwell", "well", "indeed"), (4, "poe", "what", "what")]
+    assert got == [tuple(r)[1:] for r in speaker_turns.turn_bounds(pages, docs).orderBy("turn_no").collect()]
+    assert speaker_turns.turn_bounds(pages.limit(0), docs.limit(0)).count() == 0
 
 
 def test_sentences(spark):
