@@ -68,8 +68,8 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer_path: str | None = N
     """selection (doc_id, source, n_tokens, uses) and report (source, target_share, max_repeats, tokens, epochs, actual_share).
 
     documents(doc_id, source, text), targets(source, target_share, max_repeats). The
-    default total is all tokens of the targeted sources. Repeated ids count once, null
-    or empty texts hold no tokens, documents of other sources are not used; uses is
+    default total is all tokens of the targeted sources. Repeated ids count once (with
+    the smallest source, then the fewest tokens), null or empty texts hold no tokens, documents of other sources are not used; uses is
     never above max_repeats. No documents give an empty selection.
     """
     listed = targets.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).where("source is not null")
@@ -77,10 +77,13 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer_path: str | None = N
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     spark = documents.sparkSession
-    once = documents.select("doc_id", "source", "text").groupBy("doc_id").agg(F.min(F.struct("source", "text")).alias("d")).select("doc_id", "d.*")
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**40))
-    counted = count_tokens(once.join(F.broadcast(listed.select("source")), "source", "left_semi"), tokenizer_path)
-    sized = cut_lineage(counted.select("doc_id", "source", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), u.alias("u")))
+    # Tokens are counted where the texts lie; only numbers are shuffled to drop repeats. At most MAX_SOURCES names are broadcast.
+    known = documents.select("doc_id", "source", "text").join(F.broadcast(listed.select("source", F.lit(True).alias("listed"))), "source", "left")
+    counted = count_tokens(known.select("doc_id", "source", "listed", F.when(F.col("listed"), F.col("text")).alias("text")), tokenizer_path)
+    size = F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens")
+    once = counted.select("doc_id", "source", "listed", size).groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens", "listed")).alias("d")).select("doc_id", "d.*")
+    sized = cut_lineage(once.where("listed").select("doc_id", "source", "n_tokens", u.alias("u")))
     tokens = {r.source: r.n or 0 for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     target = {r.source: float(r.target_share or 0) for r in rows}
     cap = {r.source: int(r.max_repeats or 0) for r in rows}
