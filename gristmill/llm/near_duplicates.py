@@ -39,6 +39,7 @@ FEW_RARE = 0.4  # a class with a smaller share of rarer items has bands over all
 BATCH = 64  # bytes compared at a time after the bits
 BAND_BITS = 48
 CACHE_WORDS = 500_000
+SIGNATURES = 2048  # whose bands are made at a time
 _SEED = np.random.default_rng(20)
 _A = _SEED.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
 _ROUND = np.arange(2 * HASHES, dtype=np.uint64) << np.uint64(54)
@@ -237,9 +238,10 @@ def _bands(rare_bands: int, all_bands: int):
         for batch in batches:
             kinds = batch["kind_id"].to_numpy().astype(np.uint32).astype(np.uint64)
             for which, held in ((0, batch["rare_sig"].str.len().to_numpy() > 0), (1, batch["few_rare"].to_numpy(bool))):
-                part = batch[held]
-                if len(part):
-                    yield pd.DataFrame({"id": part["id"], "n": part["n"], "bands": list(of(part["sig" if which else "rare_sig"], kinds[held], which))})
+                part, its = batch[held], kinds[held]
+                for i in range(0, len(part), SIGNATURES):
+                    few = part.iloc[i : i + SIGNATURES]
+                    yield pd.DataFrame({"id": few["id"], "n": few["n"], "bands": list(of(few["sig" if which else "rare_sig"], its[i : i + SIGNATURES], which))})
 
     return bands
 
